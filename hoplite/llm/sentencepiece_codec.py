@@ -6,7 +6,7 @@ blank that follows another character, around characters that occur in no longer
 product has one state there, so stretches between cuts ("units") are solved apart, and
 equal units once.
 
-Texts above ``GIANT`` characters are split into chunks of ``CHUNK``, which different tasks take:
+Texts above ``GIANT`` characters are split into chunks of up to ``CHUNK``, which different tasks take:
 
 1. each chunk yields its transfer matrix: from the state at its left boundary (how many characters of a piece
    reach over it) to the state at its right one, the best weight;
@@ -15,7 +15,8 @@ Texts above ``GIANT`` characters are split into chunks of ``CHUNK``, which diffe
 
 Weights are the model file's piece scores, as for a unigram model: normalisation is the identity,
 a blank becomes U+2581, one is put in front; a character in no piece costs ten less than
-the least score and is written as its byte pieces. Of equally heavy paths the one whose last piece starts first wins.
+the least score and is written as its byte pieces. Of equally heavy paths the one whose last piece starts first
+wins (chunks end at cuts where they can; in a stretch without cuts that is longer than a chunk another of equally heavy paths may win).
 Decoding gives back every text exactly, but that U+2581 itself becomes a blank, as the format has it.
 
 Defined results: a null text has null pieces, an empty one none; each row of ``docs`` gives one row; other columns are kept
@@ -168,6 +169,14 @@ class Codec:
         ends = [e for e in ends if self.longest - 1 <= e <= size and e > 0 and self._is_cut(text, e)]
         return (ends[0], ends[-1]) if ends else None
 
+    def chunk_end(self, text: str, at: int, chunk: int) -> int:
+        """Where a chunk that starts at ``at`` ends: at its last cut in the second half, else in full length."""
+        end = at + chunk
+        if end >= len(text):
+            return len(text)
+        cuts = [m.start() for m in self.unit.finditer(text, at + chunk // 2, end) if self._is_cut(text, m.start())]
+        return cuts[-1] if cuts else end
+
     def _is_cut(self, text: str, at: int) -> bool:
         return self.unit.fullmatch(text, at - 1, at + 1) is None
 
@@ -263,14 +272,18 @@ def decoder(codec: Codec, spark: SparkSession):
 
 def _split(shared, chunk: int):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = shared.value.longest
+        codec = shared.value
+        k = codec.longest
 
         def rows():
             for batch in batches:
                 for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     text = Codec.prepared(text)
-                    for at in range(0, len(text), chunk):
-                        yield row, at // chunk, min(chunk, len(text) - at), text[at : at + chunk + k - 1]
+                    at = part = 0
+                    while at < len(text):
+                        end = codec.chunk_end(text, at, chunk)
+                        yield row, part, end - at, text[at : end + k - 1]
+                        at, part = end, part + 1
 
         yield from batches_of(rows(), pa.schema([("row", pa.int64()), ("part", pa.int32()), ("size", pa.int32()), ("text", pa.string())]), 64)
 
