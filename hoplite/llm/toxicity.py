@@ -29,7 +29,7 @@ from hoplite.llm.labelled import labelled_sample
 
 SAMPLE, TRAIN_TEXT = 8_000, 1 << 16
 #: Lexicon voters at most, and the documents that must show one.
-VOTERS, LEAST_DOCS = 400, 4
+VOTERS, LEAST_DOCS = 600, 4
 #: Lengths of word beginnings, in characters.
 BEGINNINGS = (4, 5, 6)
 #: English insults (fixed values).
@@ -67,7 +67,7 @@ class Voters:
             self.telling[word] = tuple(hits)
 
     def fire(self, text: bytes | None) -> dict[int, int]:
-        """Voter number to how often it fires."""
+        """Voter number to how often it fires; under ``count`` the words for which any lexicon voter fires."""
         if not text:
             return {}
         words = words_of(text)
@@ -82,15 +82,12 @@ class Voters:
             for w in words:
                 if w in hits:
                     found.update(self.telling[w])
+                    found[self.count] += 1
         for i, p in enumerate(self.compiled):
             if p.search(text):
                 found[self.count - len(PATTERNS) + i] = 1
         return found
 
-    def lexical(self, fired: dict[int, int]) -> int:
-        """How often lexicon voters fired, together."""
-        return sum(k for v, k in fired.items() if v < self.count - len(PATTERNS))
-
 
 def find_voters(sample: list[tuple[bytes, int]]) -> Voters:
     """Words and beginnings that occur in at least LEAST_DOCS toxic texts and hardly elsewhere."""
@@ -151,12 +148,15 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 15) -> np.n
     return p
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 25) -> np.ndarray:
-    """Weights (the last is the bias) of a ridge logistic regression on soft labels, by Newton steps."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.2, steps: int = 25) -> np.ndarray:
+    """Weights (the last is the bias) of a ridge logistic regression on soft labels, by Newton steps.
+
+    The last column, the words that any lexicon voter knows, is hardly held back: what a voter alone adds must show in many texts.
+    """
     x = np.c_[x, np.ones(len(x))]
     w = np.zeros(x.shape[1])
     penalty = np.full(len(w), ridge)
-    penalty[-1] = 1e-3
+    penalty[-2:] = 1e-2, 1e-3
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (p - y) + penalty * w
@@ -168,14 +168,23 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 25)
     return w
 
 
+def best_cut(z: np.ndarray, y: np.ndarray) -> float:
+    """The cut of ``z`` that agrees with ``y`` most often; the middle of the widest gap among equally good ones."""
+    values, inverse = np.unique(z, return_inverse=True)
+    if len(values) < 2 or y.all() or not y.any():
+        return 0.0
+    gain = np.cumsum(np.bincount(inverse, np.where(y, -1, 1)))[:-1]  # right below the cut less wrong below it
+    best = np.flatnonzero(gain == gain.max())
+    at = best[np.argmax((values[1:] - values[:-1])[best])]
+    return float((values[at] + values[at + 1]) / 2)
+
+
 class Model:
     def __init__(self, voters: Voters, weights: np.ndarray):
         self.voters, self.weights = voters, weights
 
     def score(self, text: bytes | None) -> float:
-        fired = self.voters.fire(text)
-        z = self.weights[-1] + sum(self.weights[v] * np.log1p(k) for v, k in fired.items())
-        z += self.weights[-2] * np.log1p(self.voters.lexical(fired))
+        z = self.weights[-1] + sum(self.weights[v] * np.log1p(k) for v, k in self.voters.fire(text).items())
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -187,11 +196,12 @@ def train(sample: list[tuple[bytes, int]]) -> Model:
         return Model(voters, weights)
     fired = np.zeros((len(sample), voters.count + 1))
     for i, (text, _) in enumerate(sample):
-        for v, k in (found := voters.fire(text)).items():
+        for v, k in voters.fire(text).items():
             fired[i, v] = k
-        fired[i, -1] = voters.lexical(found)
     posterior = label_model((fired[:, :-1] > 0).astype(float), np.array([y for _, y in sample]))
-    return Model(voters, logistic(np.log1p(fired), posterior))
+    weights = logistic(np.log1p(fired), posterior)
+    weights[-1] -= best_cut(np.log1p(fired) @ weights[:-1] + weights[-1], posterior >= 0.5)
+    return Model(voters, weights)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
