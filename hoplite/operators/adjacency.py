@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hoplite.functions.codec import compressed
+from hoplite.functions.codec import varint_length
+from hoplite.schema import U32
 
 #: Ids of a block of the two-level running sum.
 BLOCK = 1 << 16
@@ -38,7 +39,7 @@ def degrees(nodes: DataFrame, edges: DataFrame, direction: str = "out") -> DataF
 
 def degree_lookup(probes: DataFrame, edges: DataFrame, direction: str = "out") -> DataFrame:
     """``probes(id)`` with their degree; 0 for an id out of range."""
-    wanted = turned(edges, direction).join(F.broadcast(probes.select(F.col("id").alias("node")).distinct()), "node", "left_semi")
+    wanted = turned(edges, direction).join(probes.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
     counts = wanted.groupBy("node").agg(F.count("*").alias("degree"))
     return probes.join(counts, F.col("id") == F.col("node"), "left").select(*probes.columns, F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
@@ -57,8 +58,8 @@ def neighbours(edges: DataFrame, direction: str = "out") -> DataFrame:
 
 def neighbour_lookup(probes: DataFrame, edges: DataFrame, direction: str = "out") -> DataFrame:
     """``probes(id)`` with their list; empty for a sink and for an id out of range."""
-    wanted = edges if direction == "both" else edges.join(F.broadcast(probes.select(F.col("id").alias("src" if direction == "out" else "dst")).distinct()), "src" if direction == "out" else "dst", "left_semi")
-    found = neighbours(wanted, direction)
+    wanted = turned(edges, direction).join(probes.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    found = wanted.groupBy("node").agg(F.array_sort(F.collect_list("peer")).alias("list"))
     return probes.join(found, F.col("id") == F.col("node"), "left").select(*probes.columns, F.coalesce("list", F.array().cast("array<bigint>")).alias("list"))
 
 
@@ -71,10 +72,17 @@ def running_sum(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     return blocks.withColumn("_inside", inside).join(before, "_block").withColumn(out, (F.col("_before") + F.col("_inside")).cast("long")).drop("_block", "_inside", "_before")
 
 
+def compressed_sizes(edges: DataFrame, direction: str = "out") -> DataFrame:
+    """``(node, edges, bytes)``: length of each neighbour list and of its code, from sorted rows; no list is built."""
+    before = F.lag("peer", 1, 0).over(Window.partitionBy("node").orderBy("peer"))
+    rows = turned(edges, direction).withColumn("_b", varint_length(F.pmod(F.col("peer") - before, F.lit(U32))))
+    return rows.groupBy("node").agg(F.count("*").alias("edges"), F.sum("_b").alias("bytes"))
+
+
 def csr_offsets(nodes: DataFrame, edges: DataFrame, direction: str = "out") -> DataFrame:
     """``(node_id, edge_offset, byte_offset)``: N + 1 rows; the first place of a node's neighbours among all edges, and
     the first byte of its compressed list among all lists. The last row holds the totals."""
-    lists = neighbours(edges, direction).select("node", F.size("list").cast("long").alias("_edges"), F.octet_length(compressed(F.col("list"))).cast("long").alias("_bytes"))
+    lists = compressed_sizes(edges, direction).select("node", F.col("edges").alias("_edges"), F.col("bytes").alias("_bytes"))
     every = nodes.select(F.col("id").alias("node_id")).join(lists, F.col("node_id") == F.col("node"), "left")
     every = every.select("node_id", F.coalesce("_edges", F.lit(0)).alias("_edges"), F.coalesce("_bytes", F.lit(0)).alias("_bytes"))
     end = nodes.agg((F.coalesce(F.max("id"), F.lit(-1)) + 1).alias("node_id")).select("node_id", F.lit(0).cast("long").alias("_edges"), F.lit(0).cast("long").alias("_bytes"))

@@ -139,7 +139,7 @@ def varint_roundtrip(spark, sf_dir):
 
 def compressed_size(spark, sf_dir):
     g = _graph(spark, sf_dir, "size")
-    size = lambda d: adjacency.neighbours(g.edges, d).agg(F.sum(codec.compressed_length(F.col("list"))).alias("bytes")).select(F.lit(d).alias("direction"), "bytes")
+    size = lambda d: adjacency.compressed_sizes(g.edges, d).agg(F.sum("bytes").alias("bytes")).select(F.lit(d).alias("direction"), "bytes")
     return size("out").unionByName(size("in"))
 
 
