@@ -13,7 +13,8 @@ keeps the matrix' columns short.
 * Longer columns (large groups of near copies, passages that many documents
   consist of) first link to one pivot each. What shares a component with its
   pivot need not be compared among itself; the remaining documents of the column
-  are multiplied block by block with each other and with the pivot's component.
+  are multiplied block by block with each other and with the pivot's component,
+  after bitmap sketches have ruled out the rows that cannot link.
 * Every surviving pair is verified on its complete shingle sets.
 
 Defined results: null and blank texts have size 0 and no links; equal sets are one class and
@@ -60,6 +61,30 @@ def set_id(shingles: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes()))))
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """A bitmap of two to four bits per shingle; one of half the length is the union of its halves."""
+    size = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(shingles >> np.uint64(8)) & np.uint64(size - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes], words: int) -> np.ndarray:
+    """Sketches of one length, as rows of 64-bit words, halved until they have ``words``."""
+    out = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+    while out.shape[1] > words:
+        half = out.shape[1] // 2
+        out = out[:, :half] | out[:, half:]
+    return out
+
+
+def can_link(na, nb, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """False where the bits that one sketch has alone leave too small an overlap; never false for a link."""
+    only_a = np.bitwise_count(a & ~b).sum(axis=-1, dtype=np.int64)
+    only_b = np.bitwise_count(b & ~a).sum(axis=-1, dtype=np.int64)
+    return np.minimum(na - only_a, nb - only_b) * (100 + percent) >= percent * (na + nb)
+
+
 def prefix_length(n, percent: int):
     """Shingles, first in the global order, of which a linked partner shares one."""
     return n - -(-percent * n // 100) + 1
@@ -98,7 +123,7 @@ def _ranks(shingles: np.ndarray, heavy: np.ndarray, counts: np.ndarray) -> np.nd
     return np.where(heavy[at] == shingles, counts[at], 0)
 
 
-def _scanner(order, percent: int):
+def _scanner(order, percent: int, widest: int):
     """Per document: size, set digest, and its first shingles with whether each is a long column.
 
     The first document of a set in a task brings the shingles, the others only the digest.
@@ -108,23 +133,23 @@ def _scanner(order, percent: int):
         heavy, counts = order.value
         seen: set[int] = set()
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for t in texts(batch.column(1)):
                 s = shingle_set(t)
-                g, common, rare = None, None, None
+                g, common, rare, bits = None, None, None, None
                 if len(s):
                     g = set_id(s)
                     if g not in seen:
                         seen.add(g)
                         rank = _ranks(s, heavy, counts)
                         first = np.argsort(rank, kind="stable")[: prefix_length(len(s), percent)]
-                        long = rank[first] * ORDER_SAMPLE >= COLUMN
-                        rare, common = s[first[~long]].view(np.int64), s[first[long]].view(np.int64)
-                for column, value in zip(out, (len(s), g, rare, common), strict=True):
+                        long = rank[first] * ORDER_SAMPLE >= widest
+                        rare, common, bits = s[first[~long]].view(np.int64), s[first[long]].view(np.int64), sketch(s)
+                for column, value in zip(out, (len(s), g, rare, common, bits), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.list_(pa.int64()))],
-                ["doc_id", "n", "g", "rare", "common"],
+                [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.binary())],
+                ["doc_id", "n", "g", "rare", "common", "sketch"],
             )
 
     return scan
@@ -135,7 +160,7 @@ def _close(a, b, percent: int):
     return (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
 
 
-def _columns(percent: int):
+def _columns(percent: int, widest: int):
     """Multiply the incidence, sorted by shingle, with its transpose: pairs of short columns, rows of long ones."""
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,13 +169,13 @@ def _columns(percent: int):
         def flush(s, g, n) -> Iterator[pa.RecordBatch]:
             start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
             size = np.diff(np.r_[start, len(s)])
-            long = np.repeat(size > COLUMN, size)
+            long = np.repeat(size > widest, size)
             if long.any():
                 yield pairs_batch(s[long], g[long], n[long], np.zeros(int(long.sum()), np.int64), False)
             for first in range(0, len(start), 200_000):  # bounds the pairs held at once
                 st, sz = start[first : first + 200_000], size[first : first + 200_000]
                 for width in np.unique(sz):
-                    if 2 <= width <= COLUMN:
+                    if 2 <= width <= widest:
                         rows = st[sz == width][:, None] + np.arange(width)
                         i, j = np.triu_indices(width, 1)
                         step = max(1, 4_000_000 // len(i))
@@ -237,6 +262,48 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long")
 
 
+def _star_filter(percent: int):
+    """Pairs whose sketches do not rule a link out."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb, sa, sb = batch.columns
+            keep = []
+            for x, y, m, n in zip(sa.to_pylist(), sb.to_pylist(), na.to_pylist(), nb.to_pylist(), strict=True):
+                words = min(len(x), len(y)) // 8
+                keep.append(bool(can_link(m, n, folded([x], words), folded([y], words), percent)[0]))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
+
+    return check
+
+
+def _block_filter(percent: int):
+    """Rows of a pair of blocks that may link to another component, by their sketches."""
+
+    def rows(key, frame):
+        left, right = frame[frame.side == 0], frame[frame.side == 1]
+        if key[1] == key[2]:
+            right = left
+        stay: set[int] = set()
+        for la, a in left.groupby(left.sketch.map(len)):
+            for lb, b in right.groupby(right.sketch.map(len)):
+                if max(la, lb) > 2 * min(la, lb):
+                    continue  # sizes too far apart
+                fa, fb = folded(list(a.sketch), min(la, lb) // 8), folded(list(b.sketch), min(la, lb) // 8)
+                nb, cb = b.n.to_numpy(), b.comp.to_numpy()
+                for i in range(len(a)):
+                    n, c = a.n.iat[i], a.comp.iat[i]
+                    maybe = np.flatnonzero((cb != c) & _close(n, nb, percent))
+                    maybe = maybe[can_link(n, nb[maybe], fa[i], fb[maybe], percent)]
+                    if len(maybe):
+                        stay.add(a.index[i])
+                        stay.update(b.index[maybe])
+        return frame.loc[sorted(stay), ["s", "i", "j", "side", "g", "n", "comp"]]
+
+    return rows
+
+
 def _block_product(percent: int):
     """All overlaps of two blocks of a long column by a product of their incidence matrices; links of different components come out."""
 
@@ -285,12 +352,16 @@ def _block_product(percent: int):
     return product
 
 
-def _long_columns(docs: DataFrame, scan: DataFrame, rows: DataFrame, links: DataFrame, percent: int, work: Workspace) -> DataFrame:
+def _long_columns(docs: DataFrame, scan: DataFrame, rows: DataFrame, links: DataFrame, percent: int, block: int, work: Workspace) -> DataFrame:
     """All links that long columns ``rows(s, g, n)`` add to ``links``: first to a pivot, then block by block."""
     pivots = rows.groupBy("s").agg(F.min(F.struct("n", "g")).alias("p")).select("s", F.col("p.g").alias("a"), F.col("p.n").alias("na"))
     star = rows.join(work.put(pivots, "pivots"), "s").where("g <> a").where(F.expr(f"100 * least(n, na) >= {percent} * greatest(n, na)"))
     star = work.put(star.select(F.least("a", "g").alias("a"), F.greatest("a", "g").alias("b")).distinct(), "star")
-    sets = needed_sets(docs, scan, rows.select("g"), work, "long_sets")
+    mine = scan.where("sketch is not null").join(rows.select("g").distinct(), "g", "left_semi").select("g", "n", "sketch").dropDuplicates(["g"])
+    sketches = work.put(mine, "sketches")
+    side = lambda x: sketches.select(F.col("g").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    star = work.put(star.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_star_filter(percent), "a long, b long"), "star2")
+    sets = needed_sets(docs, scan, star.select(F.explode(F.array("a", "b")).alias("g")), work, "star_sets")
     links = work.put(links.unionByName(verified(star, sets, percent)), "links1")
     comp = work.put(connected_components(links, work, "cc1_"), "comp1")
     named = rows.join(comp.withColumnRenamed("id", "g"), "g", "left").select("s", "g", "n", F.coalesce("comp", "g").alias("comp"))
@@ -299,7 +370,7 @@ def _long_columns(docs: DataFrame, scan: DataFrame, rows: DataFrame, links: Data
     tail = named.join(core, "s").withColumn("in_core", F.col("comp") == F.col("core"))
     counts = tail.groupBy("s").agg(F.sum(F.col("in_core").cast("long")).alias("k"), F.sum((~F.col("in_core")).cast("long")).alias("rest"), F.min("n").alias("lo"), F.max("n").alias("hi")).where("rest > 0")
     open_ = work.put(tail.join(counts, "s").drop("core"), "open")
-    blocks = open_.withColumn("nr", F.ceil(F.col("rest") / BLOCK).cast("int")).withColumn("nc", F.ceil(F.col("k") / BLOCK).cast("int"))
+    blocks = open_.withColumn("nr", F.ceil(F.col("rest") / block).cast("int")).withColumn("nc", F.ceil(F.col("k") / block).cast("int"))
     blocks = blocks.withColumn("h", F.pmod(F.xxhash64("g"), F.when(F.col("in_core"), F.col("nc")).otherwise(F.col("nr"))).cast("int"))
     # block pairs: (rest i, rest j) with i <= j, and (rest i, nr + core j)
     pair = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
@@ -308,12 +379,14 @@ def _long_columns(docs: DataFrame, scan: DataFrame, rows: DataFrame, links: Data
     mine = F.transform(F.sequence(F.col("h"), F.col("nr") + F.col("nc") - 1), lambda j: pair(F.col("h"), j, 0))
     below = F.transform(F.filter(every, lambda i: i < F.col("h")), lambda i: pair(i, F.col("h"), 1))
     dealt = blocks.select("s", "g", "n", "comp", F.explode(F.when(F.col("in_core"), of_core).otherwise(F.concat(mine, below))).alias("e")).select("s", "e.i", "e.j", "e.side", "g", "n", "comp")
-    dealt = dealt.join(sets, "g")
-    more = dealt.groupBy("s", "i", "j").applyInPandas(_block_product(percent), "a long, b long")
+    maybe = dealt.join(sketches.select("g", "sketch"), "g").groupBy("s", "i", "j").applyInPandas(_block_filter(percent), "s long, i int, j int, side int, g long, n long, comp long")
+    maybe = work.put(maybe, "maybe")
+    sets = needed_sets(docs, scan, maybe.select("g"), work, "block_sets")
+    more = maybe.join(sets, "g").groupBy("s", "i", "j").applyInPandas(_block_product(percent), "a long, b long")
     return work.put(links.unionByName(more), "links2")
 
 
-def ngram_components(docs: DataFrame, percent: int = 80) -> DataFrame:
+def ngram_components(docs: DataFrame, percent: int = 80, widest: int = COLUMN, block: int = BLOCK) -> DataFrame:
     """Every document with the size of its 5-word shingle set and its component: ``(doc_id, n_shingles, component_id)``."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -321,10 +394,10 @@ def ngram_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     work = Workspace(spark, "ngram", keep=("result",))
     with work:
         order = spark.sparkContext.broadcast(frequent_shingles(docs, work))
-        scan = work.put(docs.mapInArrow(_scanner(order, percent), docs.select("doc_id").schema.simpleString()[7:-1] + ", n long, g long, rare array<long>, common array<long>"), "scan")
+        scan = work.put(docs.mapInArrow(_scanner(order, percent, widest), docs.select("doc_id").schema.simpleString()[7:-1] + ", n long, g long, rare array<long>, common array<long>, sketch binary"), "scan")
         rare = scan.where("rare is not null").select(F.explode("rare").alias("s"), "g", "n")
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-        product = work.put(rare.repartition(parts, "s").dropDuplicates(["s", "g"]).sortWithinPartitions("s").select("s", "g", "n").mapInArrow(_columns(percent), "kind long, a long, b long, na long, nb long, k long"), "product")
+        product = work.put(rare.repartition(parts, "s").dropDuplicates(["s", "g"]).sortWithinPartitions("s").select("s", "g", "n").mapInArrow(_columns(percent, widest), "kind long, a long, b long, na long, nb long, k long"), "product")
         least = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
         beyond = F.greatest(F.ceil(F.lit(percent) * F.col("na") / 100), F.ceil(F.lit(percent) * F.col("nb") / 100)) - 1
         pairs = product.where("kind = 0").groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k")).where(F.col("k") + beyond >= least)
@@ -335,7 +408,7 @@ def ngram_components(docs: DataFrame, percent: int = 80) -> DataFrame:
         common = scan.where("size(common) > 0").select(F.explode("common").alias("s"), "g", "n").unionByName(product.where("kind = 1").select(F.col("a").alias("s"), F.col("b").alias("g"), F.col("na").alias("n")))
         common = work.put(common.distinct(), "common")
         if not common.isEmpty():
-            links = _long_columns(docs, scan, common, links, percent, work)
+            links = _long_columns(docs, scan, common, links, percent, block, work)
         comp = work.put(connected_components(links, work), "comp") if not links.isEmpty() else spark.createDataFrame([], "id long, comp long")
         # classes of equal sets, then components of classes
         classes = scan.where("g is not null").groupBy("g").agg(F.min("doc_id").alias("first"))
