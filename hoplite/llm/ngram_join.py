@@ -171,7 +171,8 @@ def _columns(percent: int, widest: int):
             size = np.diff(np.r_[start, len(s)])
             long = np.repeat(size > widest, size)
             if long.any():
-                yield pairs_batch(s[long], g[long], n[long], np.zeros(int(long.sum()), np.int64), False)
+                none = np.zeros(int(long.sum()), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (none + 1, s[long], g[long], n[long], none, none)], NAMES)
             for first in range(0, len(start), 200_000):  # bounds the pairs held at once
                 st, sz = start[first : first + 200_000], size[first : first + 200_000]
                 for width in np.unique(sz):
@@ -194,9 +195,6 @@ def _columns(percent: int, widest: int):
                 st = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.zeros(len(st), np.int64), a[st], b[st], na[st], nb[st], np.diff(np.r_[st, len(a)]))], NAMES)
 
-        def pairs_batch(s, g, n, zero, _short) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (zero + 1, s, g, n, zero, zero)], NAMES)
-
         for batch in batches:
             got = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
             if not len(got[0]):
@@ -425,18 +423,23 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component; of rows that repeat a kept doc_id, the first by text."""
+    """``docs`` with one document of each component; of rows that repeat a kept doc_id, the first by text.
+
+    Documents without an id stay. Ids to drop are broadcast up to BROADCAST_IDS of them, so the texts stay where they are.
+    """
     from pyspark.sql import Window
 
-    found = ngram_components(docs)
-    kept = found.where("component_id is null or doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_copies"))
-    marked = docs.join(kept.where("doc_id is not null"), "doc_id", "left_semi")
-    repeats = kept.where("_copies > 1 and doc_id is not null").select("doc_id")
-    if not repeats.isEmpty():
+    work = Workspace(docs.sparkSession, "kept")
+    by_id = ngram_components(docs).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"))
+    marked = work.put(by_id.where("first = 0 or rows > 1"), "marked")
+    dropped, repeated = marked.where("first = 0").select("doc_id"), marked.where("first = 1").select("doc_id")
+    hint = F.broadcast if within(dropped, BROADCAST_IDS) else (lambda x: x)
+    out = docs.join(hint(dropped), "doc_id", "left_anti")
+    if not repeated.isEmpty():
         again = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        twice = marked.join(repeats, "doc_id", "left_semi").withColumn("_row", F.row_number().over(again)).where("_row = 1").drop("_row")
-        marked = marked.join(repeats, "doc_id", "left_anti").unionByName(twice)
-    return marked.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+        once = out.join(repeated, "doc_id", "left_semi").withColumn("_row", F.row_number().over(again)).where("_row = 1").drop("_row")
+        out = out.join(repeated, "doc_id", "left_anti").unionByName(once)
+    return out.select(*docs.columns)
 
 
 QUERIES = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join}
