@@ -61,10 +61,6 @@ def texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
 
 
-def in_batches(columns: list[pa.Array], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(columns, names)
-
-
 def batches_of(rows: Iterator[tuple], schema: pa.Schema, size: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """Rows as record batches of at most ``size`` rows."""
     held: list[tuple] = []
