@@ -26,6 +26,7 @@ by the pipeline stage and ignored by the query.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ from hoplite.plans.workspace import Workspace
 #: Characters above which a text is split, and of a chunk.
 GIANT, CHUNK = 1 << 16, 1 << 15
 #: Units whose segmentation a worker remembers.
-CACHE = 300_000
+CACHE = 600_000
 BLANK = "▁"
 NEVER = -np.inf
 
@@ -57,14 +58,28 @@ class Codec:
         self.pieces, self.byte_ids, self.by_id = pieces, byte_ids, by_id
         self.longest = max(map(len, pieces), default=1)
         self.unknown = min((s for s, _ in pieces.values()), default=0.0) - 10.0
-        self.starts = {p[:n] for p in pieces for n in range(1, len(p))}
+        #: character -> (continuations, weight, id) of every beginning of a piece; id -1 for one that is no piece
+        self.trie: dict = {}
+        for piece, (weight, i) in pieces.items():
+            level = self.trie
+            for c in piece[:-1]:
+                level = level.setdefault(c, ({}, NEVER, -1))[0]
+            known = level.get(piece[-1])
+            level[piece[-1]] = (known[0] if known else {}, weight, i)
+        for c, (more, _, i) in list(self.trie.items()):
+            if i < 0:  # begins pieces, but is an unknown character alone
+                self.trie[c] = (more, self.unknown, -1)
         inner = {c for p in pieces if len(p) > 1 for c in p}
         blank_inside = any(BLANK in p[1:] and p.strip(BLANK) for p in pieces)
         # a unit: a line end and other characters of no longer piece alone; a run of blanks with what follows
         alone = "".join(re.escape(c) for c in "\n\r\t" if c not in inner)
         one = f"[{alone}]|" if alone else ""
         self.unit = re.compile(r"(?s).+" if blank_inside else f"{one}{BLANK}+[^{BLANK}{alone}]*|[^{BLANK}{alone}]+")
-        self.cache: dict[str, tuple[float, bytes]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.spelt = [p.replace(BLANK, " ").encode("utf-8", "surrogatepass") for p in by_id]
+        for b, i in enumerate(byte_ids):
+            if i:
+                self.spelt[i] = bytes([b])
 
     def __getstate__(self):
         return self.pieces, self.byte_ids, self.by_id
@@ -88,56 +103,51 @@ class Codec:
 
     # the max-plus recursion
 
-    def steps(self, text: str, at: int) -> Iterator[tuple[int, float, int]]:
-        """(length, weight, id) of the pieces that start at a place; id -1 for an unknown character."""
-        single = False
-        for n in range(1, min(self.longest, len(text) - at) + 1):
-            piece = text[at : at + n]
-            if (found := self.pieces.get(piece)) is not None:
-                single |= n == 1
-                yield n, *found
-            if piece not in self.starts:
-                break
-        if not single:
-            yield 1, self.unknown, -1
-
-    def forward(self, text: str, start: int, stop: int) -> tuple[list[float], list[tuple[int, int]]]:
-        """Best weights from ``start`` to all places of ``text``, by pieces that begin before ``stop``; with (begin, id) of the last piece."""
-        best, last = [NEVER] * (len(text) + 1), [(-1, -1)] * (len(text) + 1)
+    def forward(self, text: str, start: int, stop: int) -> tuple[list[float], list[int], list[int]]:
+        """Best weights from ``start`` to all places of ``text``, by pieces that begin before ``stop``; and where the last piece
+        begins and its id, -1 for an unknown character."""
+        n = len(text)
+        best, begins, ids = [NEVER] * (n + 1), [-1] * (n + 1), [-1] * (n + 1)
         best[start] = 0.0
+        trie, unknown, longest = self.trie, self.unknown, self.longest
         for at in range(start, stop):
             base = best[at]
             if base == NEVER:
                 continue
-            for n, w, i in self.steps(text, at):
-                if base + w > best[at + n]:
-                    best[at + n], last[at + n] = base + w, (at, i)
-        return best, last
-
-    def trace(self, text: str, last: list[tuple[int, int]], start: int, end: int) -> list[int]:
+            level, end = trie, at
+            for c in text[at : at + longest]:
+                node = level.get(c)
+                end += 1
+                if node is None:
+                    if end == at + 1 and base + unknown > best[end]:
+                        best[end], begins[end], ids[end] = base + unknown, at, -1
+                    break
+                level, w, i = node
+                if base + w > best[end]:
+                    best[end], begins[end], ids[end] = base + w, at, i
+        return best, begins, ids
+
+    def trace(self, text: str, path: tuple[list[float], list[int], list[int]], start: int, end: int) -> list[int]:
+        _, begins, ids = path
         out: list[int] = []
         while end > start:
-            begin, i = last[end]
+            begin, i = begins[end], ids[end]
             out += [i] if i >= 0 else [self.byte_ids[b] for b in reversed(text[begin:end].encode("utf-8", "surrogatepass"))]
             end = begin
         return out[::-1]
 
-    def solved(self, unit: str) -> tuple[float, bytes]:
-        """Weight and ids (as int32 bytes) of a unit, remembered."""
+    def solved(self, unit: str) -> bytes:
+        """Ids of a unit as int32 bytes; the first CACHE units that a worker meets are remembered."""
         found = self.cache.get(unit)
         if found is None:
-            if unit in self.pieces and len(unit) == 1:
-                w, i = self.pieces[unit]
-                found = w, np.array([i], np.int32).tobytes()
-            else:
-                best, last = self.forward(unit, 0, len(unit))
-                found = best[-1], np.array(self.trace(unit, last, 0, len(unit)), np.int32).tobytes()
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            if len(unit) <= 64:
+            found = array("i", self.trace(unit, self.forward(unit, 0, len(unit)), 0, len(unit))).tobytes()
+            if len(unit) <= 64 and len(self.cache) < CACHE:
                 self.cache[unit] = found
         return found
 
+    def weight(self, unit: str) -> float:
+        return self.forward(unit, 0, len(unit))[0][-1]
+
     @staticmethod
     def prepared(text: str) -> str:
         return BLANK + text.replace(" ", BLANK) if text else ""
@@ -146,19 +156,14 @@ class Codec:
         cache, parts = self.cache, []
         for unit in self.unit.findall(text):
             found = cache.get(unit)
-            parts.append(found[1] if found is not None else self.solved(unit)[1])
+            parts.append(found if found is not None else self.solved(unit))
         return b"".join(parts)
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode_prepared(self.prepared(text)), np.int32)
 
     def decode(self, ids) -> str:
-        parts: list[bytes] = []
-        as_byte = {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
-        for i in ids:
-            parts.append(as_byte[i] if i in as_byte and i else self.by_id[i].replace(BLANK, " ").encode("utf-8", "surrogatepass"))
-        text = b"".join(parts).decode("utf-8", "surrogatepass")
-        return text[1:]
+        return b"".join(map(self.spelt.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
     # chunks
 
@@ -190,16 +195,16 @@ class Codec:
         cuts = self._cuts(text, size)
         for i in range(min(k, size + 1)):
             if cuts is None:
-                best, _ = self.forward(text, i, size)
+                best, *_ = self.forward(text, i, size)
                 ends = best[size : size + k]
                 out[i, : len(ends)] = ends
             else:
-                best, _ = self.forward(text[: cuts[0]], i, cuts[0])
+                best, *_ = self.forward(text[: cuts[0]], i, cuts[0])
                 out[i, 0] = best[cuts[0]]
         if cuts is not None:
             first, last = cuts
-            middle = sum(self.solved(u)[0] for u in self.unit.findall(text[first:last]))
-            best, _ = self.forward(text[last:], 0, size - last)
+            middle = sum(self.weight(u) for u in self.unit.findall(text[first:last]))
+            best, *_ = self.forward(text[last:], 0, size - last)
             ends = np.full(k, NEVER)
             got = best[size - last : size - last + k]
             ends[: len(got)] = got
@@ -211,14 +216,11 @@ class Codec:
         text = text[: size + right]
         cuts = self._cuts(text, size)
         if cuts is None:
-            _, last = self.forward(text, left, size)
-            return np.array(self.trace(text, last, left, size + right), np.int32).tobytes()
+            return np.array(self.trace(text, self.forward(text, left, size), left, size + right), np.int32).tobytes()
         a, b = cuts
-        _, last = self.forward(text[:a], left, a)
-        head = np.array(self.trace(text[:a], last, left, a), np.int32).tobytes()
+        head = np.array(self.trace(text[:a], self.forward(text[:a], left, a), left, a), np.int32).tobytes()
         tail_text = text[b:]
-        _, last = self.forward(tail_text, 0, size - b)
-        tail = np.array(self.trace(tail_text, last, 0, len(tail_text)), np.int32).tobytes()
+        tail = np.array(self.trace(tail_text, self.forward(tail_text, 0, size - b), 0, len(tail_text)), np.int32).tobytes()
         return head + self.encode_prepared(text[a:b]) + tail
 
 
