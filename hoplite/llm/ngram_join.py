@@ -423,22 +423,23 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component; of rows that repeat a kept doc_id, the first by text.
+    """``docs`` with one row of each component: the smallest doc_id, ids before nulls, then by the hash of the text.
 
-    Documents without an id stay. Ids to drop are broadcast up to BROADCAST_IDS of them, so the texts stay where they are.
+    Rows are told apart by id and text, so a repeated doc_id loses only rows that a kept row stands for; rows without
+    words have no copies and stay. Keys to drop are broadcast up to BROADCAST_IDS of them, so the texts stay where they are.
     """
-    from pyspark.sql import Window
-
     work = Workspace(docs.sparkSession, "kept")
-    by_id = ngram_components(docs).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"))
-    marked = work.put(by_id.where("first = 0 or rows > 1"), "marked")
-    dropped, repeated = marked.where("first = 0").select("doc_id"), marked.where("first = 1").select("doc_id")
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    rows = ngram_components(docs.select(key.alias("doc_id"), "text")).where("n_shingles > 0")
+    by_key = rows.groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("rows"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"))
+    marked = work.put(by_key.where("first = 0 or rows > 1"), "marked")
+    dropped, repeated = marked.where("first = 0").select("_key"), marked.where("first = 1").select("_key")
     hint = F.broadcast if within(dropped, BROADCAST_IDS) else (lambda x: x)
-    out = docs.join(hint(dropped), "doc_id", "left_anti")
+    out = docs.withColumn("_key", key).join(hint(dropped), "_key", "left_anti")
     if not repeated.isEmpty():
-        again = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        once = out.join(repeated, "doc_id", "left_semi").withColumn("_row", F.row_number().over(again)).where("_row = 1").drop("_row")
-        out = out.join(repeated, "doc_id", "left_anti").unionByName(once)
+        # rows of equal id and text: partial aggregates leave one a task before the shuffle
+        once = out.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
+        out = out.join(repeated, "_key", "left_anti").unionByName(once)
     return out.select(*docs.columns)
 
 

@@ -71,6 +71,14 @@ def test_one_of_each_group(spark):
     assert sorted((r.doc_id is not None, r.doc_id or 0) for r in out.collect()) == [(False, 0), (True, 1), (True, 2), (True, 4)]
 
 
+def test_one_of_each_group_tells_rows_of_an_id_apart(spark):
+    x, y, z = "a b c d e f", "other words of this one", "nothing like those two at all"
+    rows = [(7, y), (7, z), (3, x), (7, x), (7, z), (8, x), (None, "p q r s t u"), (None, "p q r s t u"), (None, "P q r s t u"), (None, z), (None, None), (None, None), (9, ""), (9, "")]
+    out = N.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((-1 if r.doc_id is None else r.doc_id, (r.text or "").lower()) for r in out)
+    assert got == [(-1, ""), (-1, ""), (-1, "p q r s t u"), (3, x), (7, z), (7, y), (9, ""), (9, "")]
+
+
 def test_sketches_never_lose_a_link():
     rng = np.random.default_rng(5)
     for _ in range(200):
