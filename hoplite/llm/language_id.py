@@ -9,8 +9,9 @@ compiled to one dense table of costs (context, symbol, language): contexts that
 union of trees keeps to depth 3, or else their two-byte suffix. The language with the
 least total code length wins; the score is its posterior under equal priors.
 
-Trees learn from a sample of at most about ``TRAIN_BYTES`` per language, of texts up to
-``TRAIN_TEXT`` bytes; the table has at most ``CELLS`` cells, for which the rarest deep contexts are cut off.
+Trees learn from a sample of distinct texts of each language, by hash, that ends with the text that reaches
+``TRAIN_BYTES``; every language with a text has at least one. A text brings its first ``TRAIN_TEXT`` bytes, or more where a
+language has too few texts to reach ``TRAIN_BYTES`` so. The table has at most ``CELLS`` cells, for which the rarest deep contexts are cut off.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; if there is nothing
 to learn from, all are ``und``. Equal code lengths go to the first language by name.
@@ -26,9 +27,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hoplite.llm.common import fold, small_batches, table
+from hoplite.plans.workspace import Workspace
 
 DEPTH = 3
-#: Bytes of training text per language, and the longest text that the sample takes.
+#: Bytes of training text per language, and what the sample takes of a long text.
 TRAIN_BYTES, TRAIN_TEXT = 400_000, 1 << 16
 #: Cells of the compiled table: contexts x symbols x languages, 4 bytes each.
 CELLS = 24_000_000
@@ -168,19 +170,48 @@ def predictor(model: ContextTrees | None, spark: SparkSession):
     return predict
 
 
+def _chosen(keys: DataFrame) -> list[tuple[str, int, int]]:
+    """``(lang, h, bytes to take)`` from ``keys(lang, h, b)``: each language's distinct texts by hash until TRAIN_BYTES are reached."""
+    count = keys.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.least("b", F.lit(TRAIN_TEXT))).alias("b")).collect()
+    take = {r.lang: max(TRAIN_TEXT, -(-TRAIN_BYTES // r.n)) for r in count}
+    # keys up to a hash that should suffice for four samples, a higher one where they do not
+    share = {r.lang: min(1.0, 4 * TRAIN_BYTES / r.b) for r in count}
+    chosen = []
+    while share:
+        bound: Column = F.lit(0)
+        for lang, x in share.items():
+            bound = F.when(F.col("lang") == lang, F.lit(int(x * (1 << 30)))).otherwise(bound)
+        near = keys.where(F.col("lang").isin(list(share)) & (F.pmod("h", F.lit(1 << 30)) < bound)).collect()
+        found: dict[str, list[tuple[int, int]]] = {lang: [] for lang in share}
+        for r in near:
+            found[r.lang].append((r.h, min(r.b, take[r.lang])))
+        for lang, texts in found.items():
+            if share[lang] < 1 and sum(b for _, b in texts) < TRAIN_BYTES:
+                share[lang] = min(1.0, share[lang] * 4)
+                continue
+            del share[lang]
+            got = 0
+            for h, b in sorted(texts, key=lambda x: (x[0] % (1 << 30), x[0])):
+                if got >= TRAIN_BYTES:
+                    break
+                chosen.append((lang, h, take[lang]))
+                got += b
+    return chosen
+
+
 def train(labelled: DataFrame) -> ContextTrees | None:
-    """Trees from ``labelled(text, lang)``: whole texts, chosen by hash, about TRAIN_BYTES per language."""
-    usable = labelled.where(F.col("lang").isNotNull() & (F.octet_length("text") <= TRAIN_TEXT) & (F.octet_length("text") > 0))
-    sizes = {r.lang: r.b for r in usable.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
-    if not sizes:
+    """Trees from ``labelled(text, lang)``: distinct texts of every language, chosen by hash, about TRAIN_BYTES per language."""
+    spark = labelled.sparkSession
+    usable = labelled.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).withColumn("h", F.xxhash64("text"))
+    with Workspace(spark, "langid") as work:
+        chosen = _chosen(work.put(usable.groupBy("lang", "h").agg(F.max(F.octet_length("text")).alias("b")), "keys"))
+    if not chosen:
         return None
-    share: Column = F.lit(0)
-    for lang, size in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, TRAIN_BYTES / size) * (1 << 30)))).otherwise(share)
-    chosen = usable.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share).select("lang", "text")
-    samples: dict[str, list[bytes]] = {lang: [] for lang in sizes}
-    for r in chosen.toLocalIterator():
-        samples[r.lang].append(r.text.encode("utf-8", "surrogatepass"))
+    picked = spark.createDataFrame(chosen, "lang string, h long, take int")
+    texts = usable.join(F.broadcast(picked), ["lang", "h"]).select("lang", "h", F.expr("substring(cast(text as binary), 1, take)").alias("text"))
+    samples: dict[str, list[bytes]] = {lang: [] for lang, _, _ in chosen}
+    for r in texts.dropDuplicates(["lang", "h"]).toLocalIterator():
+        samples[r.lang].append(bytes(r.text))
     return ContextTrees(samples)
 
 

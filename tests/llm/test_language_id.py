@@ -73,3 +73,18 @@ def test_edge_rows(spark):
 def test_nothing_to_learn(spark, rows):
     out = L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
     assert [(r.lang_pred, r.score) for r in out] == [("und", 0.0)] * len(rows)
+
+
+def test_sample_has_every_language_and_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(L, "TRAIN_BYTES", 2000)
+    monkeypatch.setattr(L, "TRAIN_TEXT", 300)
+    got = {}
+    monkeypatch.setattr(L, "ContextTrees", lambda samples: got.update(samples))
+    # 3 texts of 40 bytes with 3000 copies each; one text above TRAIN_TEXT; many short ones
+    rows = [(f"copied text {i} ".ljust(40, "c"), "copies") for i in range(3) for _ in range(3000)]
+    rows += [("long " * 2000, "long"), *((f"short text number {i}", "short") for i in range(900))]
+    L.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert sorted(got) == ["copies", "long", "short"]
+    assert sorted(got["copies"]) == sorted({t.encode() for t, lang in rows if lang == "copies"})
+    assert [len(t) for t in got["long"]] == [2000]
+    assert len(set(got["short"])) == len(got["short"]) and 2000 <= sum(map(len, got["short"])) < 2100
