@@ -4,14 +4,17 @@
 a token of its own. Everything is counted over the whole training corpus:
 
 1. words: one aggregation of per-task partial counts keyed by a 64-bit hash of the word;
-2. types: the most frequent words stand for themselves, every other word for a type
-   that its last two bytes choose among ``ENDINGS``, so that each word has a type and the type
-   matrix is bounded; bigrams of types are counted densely in each task and summed;
-3. classes: types start in classes by frequency and exchange classes as long as the bigram likelihood rises.
-
-Scoring reads the texts once more. Words that occur often anywhere (at most ``COMMON`` of them, so
-a table of known size is broadcast) are scored in place; the others, each rare by
-construction, are joined with the word counts by a shuffle and summed per text.
+2. first classes: the ``OWN`` most frequent words stand for themselves, every other word for a type
+   that its last two bytes choose among ``ENDINGS``; bigrams of types are counted densely in each task and summed, and
+   types exchange classes, at most ``ROUNDS`` times, as long as the bigram likelihood rises;
+3. classes of all words: for every other training word, whatever their number, the classes before and after it
+   are counted as a table, and it goes to the class under which these counts are most likely. Only words that
+   no training text holds keep the class of their ending;
+4. class bigrams: counted over the final classes of all words.
+
+The texts are read once more for the last step. Words that occur often anywhere (at most ``COMMON`` of them, so
+a table of known size is broadcast) are classed and counted in place; the others, each rare by
+construction, are joined with the word table by a shuffle, and the bigrams that they are part of are resolved per text.
 
 Defined results: a null text is empty and consists of its end; each row of ``docs`` gives one row; without training
 texts all counts are 0 and ``base_score`` and ``score`` are those of the smoothing alone. Other columns are ignored.
@@ -35,8 +38,8 @@ COMMON = 150_000
 OWN, ENDINGS, CLASSES, ROUNDS = 767, 256, 48, 3
 #: Additive smoothing of emissions and of transitions.
 EMIT, MOVE = 0.1, 0.5
-#: Distinct words that a task counts before it passes its counts on.
-FLUSH = 1_000_000
+#: Distinct words that a task counts before it passes its counts on; neighbours that it holds before it counts them.
+FLUSH, SIDES = 1_000_000, 2_000_000
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -171,40 +174,106 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
     return member
 
 
+def _count_sides(shared):
+    """Partial counts (hash, code) of the words without a type of their own: the class before, or ``k`` plus the class after."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+        types, k = model.types, len(model.move)
+        end = np.array([model.cls[types.end]])
+        hashes, codes, held = [], [], 0
+
+        def counted() -> pa.RecordBatch:
+            u, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+            key, c = np.unique(inverse * (2 * k) + np.concatenate(codes), return_counts=True)
+            hashes.clear()
+            codes.clear()
+            return pa.RecordBatch.from_arrays([pa.array(u[key // (2 * k)].view(np.int64)), pa.array((key % (2 * k)).astype(np.int32)), pa.array(c.astype(np.int64))], ["h", "code", "c"])
+
+        for batch in batches:
+            for text in texts(batch.column(0)):
+                words = tokens(text)
+                h = word_hashes(words)
+                t = types.of(h, endings(words))
+                cls = np.concatenate([end, model.cls[t], end])
+                more = t >= len(types.own)
+                hashes += [h[more]] * 2
+                codes += [cls[:-2][more], k + cls[2:][more]]
+                held += 2 * int(more.sum())
+                if held > SIDES:
+                    yield counted()
+                    held = 0
+        if held:
+            yield counted()
+
+    return count
+
+
+def best_classes(move: np.ndarray, emit: np.ndarray, words: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each word the class, not the last, that makes its neighbours' classes most likely.
+
+    Row i says that word ``words[i]`` (numbered from 0, ascending, none left out) has ``codes[i]`` as a neighbour ``counts[i]`` times.
+    """
+    k = len(move)
+    gain = np.concatenate([move - emit, move.T])[:, : max(k - 1, 1)]
+    return np.add.reduceat(gain[codes] * counts[:, None], np.flatnonzero(np.r_[True, words[1:] != words[:-1]]), axis=0).argmax(axis=1)
+
+
+def _assign(shared):
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        move, emit = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sides = batch.column(1)
+            words = np.repeat(np.arange(batch.num_rows), sides.value_lengths().to_numpy())
+            code, c = (x.to_numpy(zero_copy_only=False) for x in sides.flatten().flatten())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best_classes(move, emit, words, code, c).astype(np.int32))], ["h", "cls"])
+
+    return assign
+
+
 class Model:
-    """All that scoring needs but the counts of rare words."""
+    """Classes of types with their bigrams; with ``named``, the classes of common words, all that finds the bigrams of a text but the rare words."""
 
     def __init__(self, types: Types, bigrams: np.ndarray, distinct: np.ndarray, n_tokens: int, n_distinct: int, ends: int, common: tuple[np.ndarray, np.ndarray]):
         self.types, self.train_tokens, self.distinct_tokens, self.ends = types, n_tokens, n_distinct, ends
         self.cls = exchange(bigrams)
         k = int(self.cls.max()) + 1
         onehot = np.eye(k)[self.cls]
-        moves = onehot.T @ bigrams @ onehot
-        self.move = np.log10((moves + MOVE) / (moves.sum(axis=1, keepdims=True) + MOVE * k))
-        size, kinds = np.bincount(self.cls, bigrams.sum(axis=0), k), np.bincount(self.cls, distinct, k)
-        self.emit = np.log10(size + EMIT * (kinds + 1))  # to be subtracted
+        self.move, self.emit = estimates(onehot.T @ bigrams @ onehot, np.bincount(self.cls, distinct, k))
         self.h, self.c = common
+        self.named = np.empty(0, np.int64)
         self.base = np.log10(n_tokens + 0.1 * (n_distinct + 1))
 
     def parts(self, text: bytes | None) -> tuple:
-        """(tokens, known among the common and the end, base and class score of all but rare counts, rare hashes, their counts)."""
+        """(tokens, known among the common and the end, base score and emissions of all but rare counts, cells of class bigrams without rare words, rare hashes, their counts, bigrams with rare words)."""
         words = tokens(text)
         h = word_hashes(words)
-        t = np.r_[self.types.of(h, endings(words)), self.types.end]
-        cls = self.cls[t]
-        moved = self.move[np.r_[self.cls[self.types.end], cls[:-1]], cls].sum() - self.emit[cls].sum()
-        n = len(words) + 1
+        n, k = len(words) + 1, len(self.move)
         end = np.log10(self.ends + 0.1)
         common = np.zeros(len(h), bool)
         counts = np.zeros(len(h), np.int64)
+        code = np.zeros(len(h), np.int64)
         if len(self.h):
             at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
             common = self.h[at] == h
-            counts = self.c[at]
+            counts, code = self.c[at], self.named[at]
         log = np.log10(counts[common] + 0.1).sum()
-        rare, k = np.unique(h[~common], return_counts=True)
+        rare, place, times = np.unique(h[~common], return_inverse=True, return_counts=True)
+        code[~common] = k + place  # the number of the rare word
+        last = self.cls[self.types.end]
+        left, right = np.r_[last, code], np.r_[code, last]
+        fixed = (left < k) & (right < k)
+        cells = (left * k + right)[fixed].astype(np.uint16).tobytes()
         known = int((counts[common] > 0).sum()) + int(self.ends > 0)
-        return n, known, log + end - n * self.base, moved + log + end, rare.view(np.int64), k
+        return n, known, log + end - n * self.base, log + end, cells, rare.view(np.int64), times, ((left << 32) | right)[~fixed]
+
+
+def estimates(moves: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of transitions, and of the emissions' denominators, which are to be subtracted."""
+    k = len(moves)
+    return np.log10((moves + MOVE) / (moves.sum(axis=1, keepdims=True) + MOVE * k)), np.log10(moves.sum(axis=0) + EMIT * (kinds + 1))
 
 
 def _scan(shared):
@@ -212,13 +281,54 @@ def _scan(shared):
         model: Model = shared.value
         for batch in batches:
             out = [model.parts(t) for t in texts(batch.column(2))]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "held_out", "n_tokens", "known", "base", "class", "rare", "k"])
+            columns = list(zip(*out, strict=True)) if out else [[]] * 8
+            longs = pa.list_(pa.int64())
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), longs, longs, longs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "held_out", "n_tokens", "known", "base", "class", "cells", "rare", "k", "open"])
 
     return scan
 
 
+def _resolve(k: int):
+    """Cells of the bigrams with rare words, from ``(row, held_out, log, more, open, found)`` with the classes found for rare words by number."""
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = []
+            for pairs, found in zip(batch.column(4), batch.column(5), strict=True):
+                number, cls = (x.to_numpy(zero_copy_only=False) for x in found.values.flatten())
+                code = np.arange(k + len(cls))
+                code[k + number] = cls
+                x = pairs.values.to_numpy(zero_copy_only=False)
+                cells.append((code[x >> 32] * k + code[x & 0xFFFFFFFF]).astype(np.uint16).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(cells, pa.binary())], ["row", "held_out", "log", "more", "cells"])
+
+    return resolve
+
+
+def _total(size: int):
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                out += np.bincount(np.frombuffer(x, np.uint16), minlength=size)
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], ["cell", "c"])
+
+    return total
+
+
+def _price(spark: SparkSession, costs: np.ndarray):
+    """A column function: the sum of ``costs`` over the cells of a text."""
+    shared = spark.sparkContext.broadcast(costs)
+
+    @F.arrow_udf("double")
+    def price(column: pa.Array) -> pa.Array:
+        return pa.array([float(shared.value[np.frombuffer(x, np.uint16)].sum()) if x is not None else 0.0 for x in column.to_pylist()], pa.float64())
+
+    return price
+
+
 def score_texts(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document; perplexity is ``10 ** (-score / n_tokens)``."""
     spark = docs.sparkSession
@@ -251,22 +361,46 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0) -> DataFrame:
                 distinct[len(types.own) + e] -= 1
         distinct[types.end] = 1 if ends else 0
         model = Model(types, bigrams.reshape(types.count, -1), distinct, int(total[0]) + ends, int(total[1]) + int(ends > 0), ends, (h, c))
+        # every word's class: by its own neighbours, or by its ending if no training text has it
+        k = len(model.move)
+        sides = docs.where(~out_fold).select("text").mapInArrow(_count_sides(spark.sparkContext.broadcast(model)), "h long, code int, c long")
+        sides = sides.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "h").groupBy("h", "code").agg(F.sum("c").alias("c"))
+        sides = sides.groupBy("h").agg(F.collect_list(F.struct("code", "c")).alias("sides"))
+        assigned = sides.mapInArrow(_assign(spark.sparkContext.broadcast((model.move, model.emit))), "h long, cls int")
+        first = F.array(*(F.lit(int(x)) for x in model.cls[len(types.own) : types.end]))
+        classed = work.put(words.join(assigned, "h", "left").select("h", "c", "every", F.coalesce("cls", F.get(first, "ending")).alias("cls")), "classed")
+        got = classed.where(F.col("every") >= least).select("h", "cls").toPandas()
+        model.named = got.cls.to_numpy(np.int64)[np.argsort(got.h.to_numpy(np.int64).view(np.uint64))]
+        model.named[mine < len(types.own)] = model.cls[mine[mine < len(types.own)]]
+        kinds = np.bincount(model.named[c > 0], minlength=k).astype(np.float64)
+        for r in classed.where((F.col("every") < least) & (F.col("c") > 0)).groupBy("cls").agg(F.count("*").alias("n")).collect():
+            kinds[r.cls] += r.n
+        kinds[model.cls[types.end]] += distinct[types.end]
         key = docs.select("doc_id").schema.simpleString()[7:-1]
-        scan = docs.select("doc_id", out_fold, "text").mapInArrow(_scan(spark.sparkContext.broadcast(model)), f"{key}, held_out boolean, n_tokens long, known long, base double, class double, rare array<long>, k array<long>")
+        scan = docs.select("doc_id", out_fold, "text").mapInArrow(_scan(spark.sparkContext.broadcast(model)), f"{key}, held_out boolean, n_tokens long, known long, base double, class double, cells binary, rare array<long>, k array<long>, open array<long>")
         scan = work.put(scan.withColumn("row", F.monotonically_increasing_id()), "scan")
-        rare = scan.select("row", F.explode(F.arrays_zip("rare", "k")).alias("e")).select("row", F.col("e.rare").alias("h"), "e.k")
-        counted = rare.join(words.where((F.col("every") < least) & (F.col("c") > 0)).select("h", "c"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+        rare = scan.select("row", F.posexplode(F.arrays_zip("rare", "k")).alias("i", "e")).select("row", "i", F.col("e.rare").alias("h"), "e.k")
+        counted = rare.join(classed.where(F.col("every") < least).select("h", "c", "cls"), "h")
         log = F.col("k") * F.log10(F.col("c") + 0.1)
-        sums = work.put(counted.groupBy("row").agg(F.sum(log).alias("log"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("more")), "sums")
+        found = counted.groupBy("row").agg(F.sum(log).alias("log"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("more"), F.collect_list(F.struct("i", "cls")).alias("found"))
+        found = scan.where("size(open) > 0").select("row", "held_out", "open").join(found, "row").select("row", "held_out", "log", "more", "open", "found")
+        sums = work.put(found.mapInArrow(_resolve(k), "row long, held_out boolean, log double, more long, cells binary"), "sums")
+        cells = scan.unionByName(sums, allowMissingColumns=True).where("not held_out").select("cells").mapInArrow(_total(k * k), "cell long, c long")
+        moves = np.zeros(k * k)
+        for r in cells.groupBy("cell").agg(F.sum("c").alias("c")).collect():
+            moves[r.cell] = r.c
+        move, emit = estimates(moves.reshape(k, k), kinds)
+        price = _price(spark, (move - emit).ravel())
+        sums = sums.select("row", "log", "more", price("cells").alias("part"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return scan.drop("rare", "k").join(sums, "row", "left").select(
+    return scan.withColumn("cells", price("cells")).drop("rare", "k", "open").join(sums, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + zero("more")).cast("long").alias("n_known"),
         F.lit(model.train_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + zero("log")).alias("base_score"),
-        (F.col("class") + zero("log")).alias("score"),
+        (F.col("class") + F.col("cells") + zero("log") + zero("part")).alias("score"),
     )
 
 

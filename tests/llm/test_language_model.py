@@ -76,3 +76,23 @@ def test_emissions_sum_to_one():
         mine = m.cls == c
         if mine.any():  # all its words and one unknown word
             assert np.isclose(((size[mine] + M.EMIT).sum() + M.EMIT) / 10 ** m.emit[c], 1)
+
+
+@pytest.mark.parametrize("common", [12, 150_000])
+def test_words_are_classed_by_their_own_neighbours(spark, monkeypatch, common):
+    """Words beyond the types of their own, all with one ending: those used like nouns and those used like verbs part."""
+    monkeypatch.setattr(M, "COMMON", common)
+    monkeypatch.setattr(M, "OWN", 6)
+    monkeypatch.setattr(M, "SIDES", 50, raising=False)
+    rng = random.Random(2)
+    nouns, verbs = [f"n{i}xx" for i in range(30)], [f"v{i}xx" for i in range(30)]
+    text = lambda: " ".join(f"the {rng.choice(nouns)} will {rng.choice(verbs)} ." for _ in range(20))
+    rows = [(i, text()) for i in range(60)]
+    held = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 10 == 0)
+    good = " ".join(f"the {n} will {v} ." for n, v in zip(nouns, verbs))
+    bad = " ".join(f"the {v} will {n} ." for n, v in zip(nouns, verbs))
+    other = next(i for i in range(held + 1, 3000) if zlib.crc32(str(i).encode()) % 10 == 0)
+    got = {r.doc_id: r for r in M.score_texts(spark.createDataFrame([*rows, (held, good), (other, bad)], "doc_id long, text string")).collect()}
+    assert got[held].held_out and got[other].held_out
+    assert abs(got[held].base_score - got[other].base_score) < 1e-6
+    assert got[held].score > got[other].score + 30
