@@ -1,26 +1,30 @@
 """SentencePiece encoding and decoding by a max-plus scan.
 
-The best segmentation of a text is the heaviest path over its character positions, a product of
-max-plus matrices. A position is a *cut* if no piece of the vocabulary can span it (in front of a
-blank that follows another character, around characters that occur in no longer piece): the
-product has one state there, so stretches between cuts ("units") are solved apart, and
-equal units once.
-
-Texts above ``GIANT`` characters are split into chunks of up to ``CHUNK``, which different tasks take:
-
-1. each chunk yields its transfer matrix: from the state at its left boundary (how many characters of a piece
-   reach over it) to the state at its right one, the best weight;
-2. the matrices of a text are combined associatively, which gives the best state at every boundary;
+The model is a merge-order one: the piece of the best score that two neighbouring symbols make is merged first, the
+leftmost of equal ones. A segmentation is the model's own exactly if every piece is what the merges make
+of its text alone and every two adjacent pieces are what they make of their joint text, because a merge
+across a border would show in those two pieces alone. So a path of pieces over the positions of a text
+weighs 0 if all its neighbours are compatible and minus infinity if not, and the heaviest path, a product of max-plus
+matrices, is the segmentation. For every beginning of a text there is one segmentation, so the
+scan keeps one last piece for each position, and no tie is possible.
+
+A position is a *cut* if no piece of the vocabulary can span it (in front of a blank that follows another
+character, around characters of no longer piece): stretches between cuts ("units") are solved apart, equal units once.
+
+Texts above ``GIANT`` characters are split into chunks of ``CHUNK``, which different tasks take:
+
+1. the state at a border is the piece, with its place, that holds the character before it; each chunk yields the transfer
+   matrix from the states at its left border to those at its right one;
+2. the matrices of a text are combined associatively, ``FAN`` at a time in a tree, which leaves one state at every border;
 3. each chunk is backtraced alone between its two states.
 
-Weights are the model file's piece scores, as for a unigram model: normalisation is the identity,
-a blank becomes U+2581, one is put in front; a character in no piece costs ten less than
-the least score and is written as its byte pieces. Of equally heavy paths the one whose last piece starts first
-wins (chunks end at cuts where they can; in a stretch without cuts that is longer than a chunk another of equally heavy paths may win).
-Decoding gives back every text exactly, but that U+2581 itself becomes a blank, as the format has it.
+The ids are those of the model whatever the sizes of chunks: ``GIANT`` and ``CHUNK`` choose where the work is done, not the result.
+Normalisation is the identity, a blank becomes U+2581, one is put in front; a character in no piece is written as its
+byte pieces. Decoding gives back every text exactly, but that U+2581 itself becomes a blank, as the format has it.
+Models with unused or user-defined pieces are refused.
 
-Defined results: a null text has null pieces, an empty one none; each row of ``docs`` gives one row; other columns are kept
-by the pipeline stage and ignored by the query.
+Defined results: a null text has null pieces, an empty one none; each row of ``docs`` gives one row; all other columns are kept
+by the pipeline stage (a column ``piece_ids`` is replaced) and ignored by the query.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,8 +44,10 @@ from hoplite.plans.workspace import Workspace
 
 #: Characters above which a text is split, and of a chunk.
 GIANT, CHUNK = 1 << 16, 1 << 15
-#: Units whose segmentation a worker remembers.
-CACHE = 600_000
+#: Matrices that one group combines.
+FAN = 64
+#: Units whose segmentation, and pairs of pieces whose compatibility, a worker remembers.
+CACHE, PAIRS = 800_000, 1_500_000
 BLANK = "▁"
 NEVER = -np.inf
 
@@ -52,30 +59,33 @@ def default_model_path() -> str:
 
 
 class Codec:
-    """Pieces and scores of a model file; see the module for the rules."""
+    """Pieces and scores of a model file; see the module for the rules.
+
+    Pieces are numbered by their ids; then come ``free``, a symbol that is compatible with everything (the
+    beginning of a text, a character in no piece), and the characters that occur in pieces without being one.
+    """
 
     def __init__(self, pieces: dict[str, tuple[float, int]], byte_ids: list[int], by_id: list[str]):
         self.pieces, self.byte_ids, self.by_id = pieces, byte_ids, by_id
+        self.score = {p: s for p, (s, _) in pieces.items()}
         self.longest = max(map(len, pieces), default=1)
-        self.unknown = min((s for s, _ in pieces.values()), default=0.0) - 10.0
-        #: character -> (continuations, weight, id) of every beginning of a piece; id -1 for one that is no piece
-        self.trie: dict = {}
-        for piece, (weight, i) in pieces.items():
-            level = self.trie
-            for c in piece[:-1]:
-                level = level.setdefault(c, ({}, NEVER, -1))[0]
-            known = level.get(piece[-1])
-            level[piece[-1]] = (known[0] if known else {}, weight, i)
-        for c, (more, _, i) in list(self.trie.items()):
-            if i < 0:  # begins pieces, but is an unknown character alone
-                self.trie[c] = (more, self.unknown, -1)
+        self.free = len(by_id)
         inner = {c for p in pieces if len(p) > 1 for c in p}
-        blank_inside = any(BLANK in p[1:] and p.strip(BLANK) for p in pieces)
-        # a unit: a line end and other characters of no longer piece alone; a run of blanks with what follows
-        alone = "".join(re.escape(c) for c in "\n\r\t" if c not in inner)
-        one = f"[{alone}]|" if alone else ""
-        self.unit = re.compile(r"(?s).+" if blank_inside else f"{one}{BLANK}+[^{BLANK}{alone}]*|[^{BLANK}{alone}]+")
+        #: number -> states that the ends of a piece pass through while it is merged: (score, first symbol, last symbol)
+        self.stages: dict[int, list[tuple[float, str, str]]] = {}
+        self.numbers: dict[str, int] = {}
+        self.places = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        single = sorted(c for c in inner if c not in pieces)
+        for piece, number in [*((p, i) for p, (_, i) in pieces.items()), *((c, self.free + 1 + k) for k, c in enumerate(single))]:
+            whole, stages = self._merged(piece)
+            if whole:  # any other never comes out of the merges
+                self.stages[number] = stages
+                self.numbers[piece] = number
+                self.places.add_word(piece, len(piece) << 20 | number)
+        self.places.make_automaton()
+        self.unit = re.compile(self._units(inner), re.S)
         self.cache: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
         self.spelt = [p.replace(BLANK, " ").encode("utf-8", "surrogatepass") for p in by_id]
         for b, i in enumerate(byte_ids):
             if i:
@@ -97,67 +107,167 @@ class Codec:
         for i, name in enumerate(names):
             if p.is_byte(i):
                 by_bytes[int(name[3:5], 16)] = i
-            elif not (p.is_control(i) or p.is_unknown(i) or p.is_unused(i)):
+            elif p.is_unused(i):
+                raise ValueError(f"unused piece {name!r}")
+            elif not (p.is_control(i) or p.is_unknown(i)):
                 pieces[name] = (float(p.get_score(i)), i)
         return cls(pieces, by_bytes, names)
 
+    def _units(self, inner: set[str]) -> str:
+        """A pattern whose matches begin and end at cuts: blanks with what follows, letters, other characters, each
+        as long as the vocabulary has pieces across what lies between."""
+        if not inner:
+            return "."
+        kind = lambda c: 0 if c == BLANK else 1 if c.isalpha() else 2
+        met = {(kind(x), kind(y)) for p in self.pieces for x, y in zip(p, p[1:])}
+        letters, others = ("".join(map(re.escape, sorted(c for c in inner if kind(c) == k))) for k in (1, 2))
+        if (1, 0) in met or (2, 0) in met:
+            return f"[{BLANK}{letters}{others}]+|."
+        runs = [f"[{r}]+" for r in ([letters + others] if (1, 2) in met or (2, 1) in met else [letters, others]) if r]
+        return "|".join([f"{BLANK}+(?:{'|'.join(runs)})?", *runs, "."])
+
+    # which pieces can be neighbours
+
+    def _merged(self, text: str) -> tuple[bool, list[tuple[float, str, str]]]:
+        """Whether the merges make one symbol of ``text``, and the stages of its ends."""
+        symbols = list(text)
+        stages = [(np.inf, symbols[0], symbols[-1])]
+        while len(symbols) > 1:
+            found = [(-s, i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (s := self.score.get(a + b)) is not None]
+            if not found:
+                break
+            cost, i = min(found)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            stages.append((-cost, symbols[0], symbols[-1]))
+        return len(symbols) == 1, stages
+
+    def meets(self, a: int, b: int) -> bool:
+        """Whether the merges of the joint text of ``a`` and ``b`` leave the border between them."""
+        if a == self.free or b == self.free:
+            return True
+        left, right, score = self.stages[a], self.stages[b], self.score
+        i = j = 0
+        while True:
+            next_a = left[i + 1][0] if i + 1 < len(left) else NEVER
+            next_b = right[j + 1][0] if j + 1 < len(right) else NEVER
+            across = score.get(left[i][2] + right[j][1])
+            if across is not None and across > next_a and across >= next_b:
+                return False
+            if next_a == next_b == NEVER:
+                return True
+            if next_a >= next_b:
+                i += 1
+            else:
+                j += 1
+
     # the max-plus recursion
 
-    def forward(self, text: str, start: int, stop: int) -> tuple[list[float], list[int], list[int]]:
-        """Best weights from ``start`` to all places of ``text``, by pieces that begin before ``stop``; and where the last piece
-        begins and its id, -1 for an unknown character."""
-        n = len(text)
-        best, begins, ids = [NEVER] * (n + 1), [-1] * (n + 1), [-1] * (n + 1)
-        best[start] = 0.0
-        trie, unknown, longest = self.trie, self.unknown, self.longest
-        for at in range(start, stop):
-            base = best[at]
-            if base == NEVER:
+    def forward(self, text: str, start: int, number: int, stop: int) -> tuple[list[int], list[int]]:
+        """For all places of ``text`` the last piece of a path of weight 0 that is at ``start`` after the piece ``number`` and whose
+        pieces begin before ``stop``, -1 where there is none; and where that piece begins."""
+        n, free, pairs, meets = len(text), self.free, self.pairs, self.meets
+        last, begins = [-1] * (n + 1), [-1] * (n + 1)
+        last[start] = number
+        done = start
+        for end, value in self.places.iter(text, start):
+            end += 1
+            while done < end - 1:  # a character in no piece
+                done += 1
+                if last[done - 1] >= 0 and done - 1 < stop:
+                    last[done], begins[done] = free, done - 1
+            done = end
+            if last[end] >= 0:
+                continue
+            begin = end - (value >> 20)
+            if begin < start or begin >= stop or (before := last[begin]) < 0:
                 continue
-            level, end = trie, at
-            for c in text[at : at + longest]:
-                node = level.get(c)
-                end += 1
-                if node is None:
-                    if end == at + 1 and base + unknown > best[end]:
-                        best[end], begins[end], ids[end] = base + unknown, at, -1
-                    break
-                level, w, i = node
-                if base + w > best[end]:
-                    best[end], begins[end], ids[end] = base + w, at, i
-        return best, begins, ids
-
-    def trace(self, text: str, path: tuple[list[float], list[int], list[int]], start: int, end: int) -> list[int]:
-        _, begins, ids = path
+            this = value & 0xFFFFF
+            if before != free:
+                key = before << 20 | this
+                ok = pairs.get(key)
+                if ok is None:
+                    if len(pairs) >= PAIRS:
+                        pairs.clear()
+                    ok = pairs[key] = meets(before, this)
+                if not ok:
+                    continue
+            last[end], begins[end] = this, begin
+        while done < n:
+            done += 1
+            if last[done - 1] >= 0 and done - 1 < stop:
+                last[done], begins[done] = free, done - 1
+        return last, begins
+
+    def trace(self, text: str, path: tuple[list[int], list[int]], start: int, end: int) -> list[int]:
+        last, begins = path
         out: list[int] = []
         while end > start:
-            begin, i = begins[end], ids[end]
-            out += [i] if i >= 0 else [self.byte_ids[b] for b in reversed(text[begin:end].encode("utf-8", "surrogatepass"))]
+            this, begin = last[end], begins[end]
+            if this < self.free:
+                out.append(this)
+            else:
+                out += [self.byte_ids[b] for b in reversed(text[begin:end].encode("utf-8", "surrogatepass"))]
             end = begin
         return out[::-1]
 
     def solved(self, unit: str) -> bytes:
-        """Ids of a unit as int32 bytes; the first CACHE units that a worker meets are remembered."""
-        found = self.cache.get(unit)
-        if found is None:
-            found = array("i", self.trace(unit, self.forward(unit, 0, len(unit)), 0, len(unit))).tobytes()
-            if len(unit) <= 64 and len(self.cache) < CACHE:
-                self.cache[unit] = found
+        """Ids of a unit as int32 bytes; the first CACHE units that a worker meets are remembered.
+
+        The scan goes on from the place that the longest piece reaches and comes back to shorter ones. All paths to a place
+        end in the same piece, so a place from which the end can't be reached is passed by from then on.
+        """
+        numbers, pairs, reach, free, n = self.numbers, self.pairs, self.places.longest_prefix, self.free, len(unit)
+        at, before, path, dead = 0, free, [], set()
+        size = reach(unit)
+        while at < n:
+            while size:
+                this = numbers.get(unit[at : at + size])
+                if this is not None and (not dead or at + size not in dead):
+                    if before == free or this == free:
+                        break
+                    key = before << 20 | this
+                    ok = pairs.get(key)
+                    if ok is None:
+                        if len(pairs) >= PAIRS:
+                            pairs.clear()
+                        ok = pairs[key] = self.meets(before, this)
+                    if ok:
+                        break
+                size -= 1
+            else:
+                if at == 0:  # a character in no piece is a unit alone
+                    self.cache[unit] = self._bytes(unit)
+                    return self.cache[unit]
+                dead.add(at)
+                before, _, size = path.pop()
+                at -= size
+                size -= 1
+                continue
+            path.append((before, this, size))
+            at += size
+            before = this
+            size = reach(unit[at : at + self.longest])
+        if before < free and all(i < free for _, i, _ in path):
+            found = array("i", [i for _, i, _ in path]).tobytes()
+        else:
+            found, at = b"", 0
+            for _, i, size in path:
+                found += array("i", [i]).tobytes() if i < free else self._bytes(unit[at : at + size])
+                at += size
+        if n <= 64 and len(self.cache) < CACHE:
+            self.cache[unit] = found
         return found
 
-    def weight(self, unit: str) -> float:
-        return self.forward(unit, 0, len(unit))[0][-1]
+    def _bytes(self, text: str) -> bytes:
+        return array("i", [self.byte_ids[b] for b in text.encode("utf-8", "surrogatepass")]).tobytes()
 
     @staticmethod
     def prepared(text: str) -> str:
         return BLANK + text.replace(" ", BLANK) if text else ""
 
     def encode_prepared(self, text: str) -> bytes:
-        cache, parts = self.cache, []
-        for unit in self.unit.findall(text):
-            found = cache.get(unit)
-            parts.append(found if found is not None else self.solved(unit))
-        return b"".join(parts)
+        get, solved = self.cache.get, self.solved
+        return b"".join([get(unit) or solved(unit) for unit in self.unit.findall(text)])
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode_prepared(self.prepared(text)), np.int32)
@@ -165,99 +275,110 @@ class Codec:
     def decode(self, ids) -> str:
         return b"".join(map(self.spelt.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
-    # chunks
+    # chunks: ``text`` holds up to ``longest`` characters before the left border and after the right one
+
+    def states(self, text: str, border: int) -> list[tuple[int, int, int]]:
+        """(begin, end, number) of all pieces that hold the character before ``border``, in a fixed order; places are relative to it."""
+        if border == 0:
+            return [(0, 0, self.free)]
+        low = max(0, border - self.longest)
+        found = []
+        for end, value in self.places.iter(text[low : border + self.longest - 1]):
+            end += low + 1
+            begin = end - (value >> 20)
+            if begin < border <= end:
+                found.append((begin - border, end - border, value & 0xFFFFF))
+        return sorted(found) or [(-1, 0, self.free)]
+
+    def _first_cut(self, text: str, low: int, high: int) -> int | None:
+        """The first cut at ``low`` or behind, before ``high``."""
+        for m in self.unit.finditer(text, low - 1, high):
+            if low <= m.end() < high and self.unit.fullmatch(text, m.end() - 1, m.end() + 1) is None:
+                return m.end()
+        return None
+
+    def _paths(self, text: str, left: int, right: int) -> list[tuple[list[int], list[int]]]:
+        """The forward scan from each state at the left border; behind the first cut they share one."""
+        states = self.states(text, left)
+        cut = self._first_cut(text, left + self.longest, right)
+        if cut is None:
+            return [self.forward(text, left + e, n, right) for _, e, n in states]
+        rest = self.forward(text, cut, self.free, right)
+        out = []
+        for _, e, n in states:
+            last, begins = self.forward(text[:cut], left + e, n, cut)
+            if last[cut] >= 0:
+                out.append((last[:cut] + [last[cut]] + rest[0][cut + 1 :], begins[: cut + 1] + rest[1][cut + 1 :]))
+            else:
+                none = [-1] * (len(text) + 1)
+                out.append((none, none))
+        return out
 
-    def _cuts(self, text: str, size: int) -> tuple[int, int] | None:
-        """The first cut that every left state reaches and the last one, if there are any."""
-        ends = [m.start() for m in self.unit.finditer(text, max(0, self.longest - 2), min(len(text), size + 1))]
-        # a match that begins where the search did need not be a cut
-        ends = [e for e in ends if self.longest - 1 <= e <= size and e > 0 and self._is_cut(text, e)]
-        return (ends[0], ends[-1]) if ends else None
+    def matrix(self, text: str, left: int, right: int) -> np.ndarray:
+        """Max-plus transfer matrix between the states at two borders."""
+        ends = self.states(text, right)
+        out = np.full((len(self.states(text, left)), len(ends)), NEVER, np.float32)
+        for i, (last, begins) in enumerate(self._paths(text, left, right)):
+            for j, (b, e, n) in enumerate(ends):
+                if last[right + e] == n and begins[right + e] == right + b:
+                    out[i, j] = 0.0
+        # a piece over both borders is one state at each
+        for i, (b, e, n) in enumerate(self.states(text, left)):
+            for j, end in enumerate(ends):
+                if left and e >= right - left and (b + left - right, e + left - right, n) == end:
+                    out[i, j] = 0.0
+        return out
 
-    def chunk_end(self, text: str, at: int, chunk: int) -> int:
-        """Where a chunk that starts at ``at`` ends: at its last cut in the second half, else in full length."""
-        end = at + chunk
-        if end >= len(text):
-            return len(text)
-        cuts = [m.start() for m in self.unit.finditer(text, at + chunk // 2, end) if self._is_cut(text, m.start())]
-        return cuts[-1] if cuts else end
+    def chunk_ids(self, text: str, left: int, right: int, i: int, j: int) -> bytes:
+        """Ids of the pieces after state ``i`` at the left border up to state ``j`` at the right one."""
+        _, e, number = self.states(text, left)[i]
+        end = right + self.states(text, right)[j][1]
+        if left + e >= end:
+            return b""
+        path = self.forward(text[:end], left + e, number, right)
+        return array("i", self.trace(text, path, left + e, end)).tobytes()
 
-    def _is_cut(self, text: str, at: int) -> bool:
-        return self.unit.fullmatch(text, at - 1, at + 1) is None
 
-    def matrix(self, text: str, size: int) -> np.ndarray:
-        """Transfer matrix of a chunk of ``size`` characters; ``text`` goes on up to ``longest - 1`` beyond it.
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Max-plus product."""
+    return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
-        A left state is where in the chunk its first piece starts, a right state how far its last piece reaches beyond it.
-        """
-        k = self.longest
-        out = np.full((k, k), NEVER)
-        cuts = self._cuts(text, size)
-        for i in range(min(k, size + 1)):
-            if cuts is None:
-                best, *_ = self.forward(text, i, size)
-                ends = best[size : size + k]
-                out[i, : len(ends)] = ends
-            else:
-                best, *_ = self.forward(text[: cuts[0]], i, cuts[0])
-                out[i, 0] = best[cuts[0]]
-        if cuts is not None:
-            first, last = cuts
-            middle = sum(self.weight(u) for u in self.unit.findall(text[first:last]))
-            best, *_ = self.forward(text[last:], 0, size - last)
-            ends = np.full(k, NEVER)
-            got = best[size - last : size - last + k]
-            ends[: len(got)] = got
-            out = out[:, :1] + middle + ends[None, :]
-        return out
 
-    def chunk_ids(self, text: str, size: int, left: int, right: int) -> bytes:
-        """Ids of a chunk between its boundary states."""
-        text = text[: size + right]
-        cuts = self._cuts(text, size)
-        if cuts is None:
-            return np.array(self.trace(text, self.forward(text, left, size), left, size + right), np.int32).tobytes()
-        a, b = cuts
-        head = np.array(self.trace(text[:a], self.forward(text[:a], left, a), left, a), np.int32).tobytes()
-        tail_text = text[b:]
-        tail = np.array(self.trace(tail_text, self.forward(tail_text, 0, size - b), 0, len(tail_text)), np.int32).tobytes()
-        return head + self.encode_prepared(text[a:b]) + tail
-
-
-def combined(matrices: list[np.ndarray]) -> list[int]:
-    """Best states at all boundaries (one more than there are chunks), from both directions' max-plus products."""
-    k = len(matrices[0])
-    ahead = [np.where(np.arange(k) == 0, 0.0, NEVER)]
+def chosen_states(matrices: list[np.ndarray], first: int, last: int) -> list[int]:
+    """States at all borders (one more than there are chunks) of the path from state ``first`` to state ``last``."""
+    ahead = [np.where(np.arange(len(matrices[0])) == first, 0.0, NEVER)]
     for m in matrices:
         ahead.append((ahead[-1][:, None] + m).max(axis=0))
-    behind = [np.where(np.arange(k) == 0, 0.0, NEVER)]
+    behind = [np.where(np.arange(matrices[-1].shape[1]) == last, 0.0, NEVER)]
     for m in reversed(matrices):
         behind.append((m + behind[-1][None, :]).max(axis=1))
-    behind.reverse()
-    # left to right, so that the states belong to one path
-    states = [0]
-    for m, rest in zip(matrices, behind[1:], strict=True):
-        states.append(int(np.argmax(m[states[-1]] + rest)))
-    return states
+    return [int(np.argmax(a + b)) for a, b in zip(ahead, reversed(behind), strict=True)]
 
 
 def _ids(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.int32)
 
 
+def _encoded_lists(codec: Codec, column: list[str | None], giant: int) -> tuple[list[bytes | None], pa.Array]:
+    """Ids of each text as int32 bytes, and as a list array; null for null and for texts above ``giant`` characters."""
+    raw = [None if t is None or len(t) > giant else codec.encode_prepared(codec.prepared(t)) for t in column]
+    ends = np.cumsum([0, *(len(r) // 4 if r is not None else 0 for r in raw)])
+    values = pa.array(np.frombuffer(b"".join(r or b"" for r in raw), np.int32))
+    return raw, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array([r is None for r in raw]))
+
+
+# columns that Catalyst must not compute again for each of their uses are marked as not deterministic, which they are
+
+
 def encoder(codec: Codec, spark: SparkSession, giant: int = GIANT):
     """A column function: text to ids; null for null and for texts above ``giant`` characters."""
     shared = spark.sparkContext.broadcast(codec)
 
     @F.arrow_udf("array<int>")
     def encode(column: pa.Array) -> pa.Array:
-        c = shared.value
-        raw = [None if t is None or len(t) > giant else c.encode_prepared(c.prepared(t)) for t in column.to_pylist()]
-        ends = np.cumsum([0, *(len(r) // 4 if r is not None else 0 for r in raw)])
-        values = pa.array(np.frombuffer(b"".join(r or b"" for r in raw), np.int32))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array([r is None for r in raw]))
+        return _encoded_lists(shared.value, column.to_pylist(), giant)[1]
 
-    return encode
+    return encode.asNondeterministic()
 
 
 def decoder(codec: Codec, spark: SparkSession):
@@ -272,85 +393,137 @@ def decoder(codec: Codec, spark: SparkSession):
     return decode
 
 
+def both_ways(codec: Codec, spark: SparkSession, giant: int = GIANT):
+    """A column function: text to ``struct(ids, same)``: the ids, and whether decoding them gives the text back; one Python worker does both."""
+    shared = spark.sparkContext.broadcast(codec)
+
+    @F.arrow_udf("struct<ids:array<int>,same:boolean>")
+    def there_and_back(column: pa.Array) -> pa.Array:
+        c, given = shared.value, column.to_pylist()
+        raw, ids = _encoded_lists(c, given, giant)
+        same = [r is None or c.decode(_ids(r).tolist()) == t.replace(BLANK, " ") for r, t in zip(raw, given, strict=True)]
+        return pa.StructArray.from_arrays([ids, pa.array(same, pa.bool_())], ["ids", "same"])
+
+    return there_and_back.asNondeterministic()
+
+
 def _split(shared, chunk: int):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = shared.value
-        k = codec.longest
+        reach = shared.value.longest
 
         def rows():
             for batch in batches:
                 for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     text = Codec.prepared(text)
-                    at = part = 0
-                    while at < len(text):
-                        end = codec.chunk_end(text, at, chunk)
-                        yield row, part, end - at, text[at : end + k - 1]
-                        at, part = end, part + 1
+                    for part, at in enumerate(range(0, len(text), chunk)):
+                        low, end = max(0, at - reach), min(at + chunk, len(text))
+                        yield row, part, at - low, end - low, text[low : end + reach]
 
-        yield from batches_of(rows(), pa.schema([("row", pa.int64()), ("part", pa.int32()), ("size", pa.int32()), ("text", pa.string())]), 64)
+        yield from batches_of(rows(), CHUNKS, 64)
 
     return split
 
 
-def encode_giants(giants: DataFrame, codec: Codec, work: Workspace, chunk: int = CHUNK) -> DataFrame:
-    """``giants(row, text)`` to ``(row, ids)`` by chunks that any number of tasks share."""
-    spark = work.spark
-    shared = spark.sparkContext.broadcast(codec)
-    parts = work.put(giants.mapInArrow(_split(shared, chunk), "row long, part int, size int, text string").repartition("row", "part"), "chunks")
-    k = codec.longest
+CHUNKS = pa.schema([("row", pa.int64()), ("part", pa.int32()), ("left", pa.int32()), ("right", pa.int32()), ("text", pa.string())])
+_MATRIX = "row long, part int, rows int, m binary"
+
+
+def _matrices(shared):
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, left, right, text = (c.to_pylist() for c in batch.columns)
+            m = [shared.value.matrix(t, a, b) for t, a, b in zip(text, left, right, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in m], pa.int32()), pa.array([x.tobytes() for x in m], pa.binary())], ["row", "part", "rows", "m"])
+
+    return made
 
-    @F.arrow_udf("array<double>")
-    def transfer(text: pa.Array, size: pa.Array) -> pa.Array:
-        c = shared.value
-        return pa.array([c.matrix(t, n).ravel().tolist() for t, n in zip(text.to_pylist(), size.to_pylist(), strict=True)], pa.list_(pa.float64()))
 
-    def states(frame):
-        import pandas as pd
+def _read_matrix(raw: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(raw, np.float32).reshape(rows, -1)
 
-        frame = frame.sort_values("part")
-        at = combined([np.array(m).reshape(k, k) for m in frame["m"]])
-        return pd.DataFrame({"row": frame["row"], "part": frame["part"], "left": np.array(at[:-1], np.int32), "right": np.array(at[1:], np.int32)})
 
-    chosen = parts.select("row", "part", transfer("text", "size").alias("m")).groupBy("row").applyInPandas(states, "row long, part int, left int, right int")
-    chosen = work.put(chosen.withColumnsRenamed({"left": "from_state", "right": "to_state"}), "states")
+def _products(key, frame):
+    """The product of the matrices of a group."""
+    import pandas as pd
+
+    frame = frame.sort_values("part")
+    total = None
+    for raw, rows in zip(frame["m"], frame["rows"], strict=True):
+        m = _read_matrix(raw, rows)
+        total = m if total is None else product(total, m)
+    return pd.DataFrame({"row": [key[0]], "part": [key[1]], "rows": [len(total)], "m": [total.tobytes()]}).astype({"part": "int32", "rows": "int32"})
+
+
+def _inside(key, frame):
+    """States at the borders inside a group, from those at its ends (``i``, ``j``)."""
+    import pandas as pd
+
+    frame = frame.sort_values("part")
+    at = chosen_states([_read_matrix(raw, rows) for raw, rows in zip(frame["m"], frame["rows"], strict=True)], int(frame["i"].iloc[0]), int(frame["j"].iloc[0]))
+    return pd.DataFrame({"row": frame["row"], "part": frame["part"], "i": np.array(at[:-1], np.int32), "j": np.array(at[1:], np.int32)})
+
+
+def border_states(matrices: DataFrame, work: Workspace, fan: int = FAN, level: int = 0) -> DataFrame:
+    """``matrices(row, part, rows, m)`` to the state numbers ``(row, part, i, j)`` at both borders of each part: up a tree by products,
+    down it by the states at a node's ends. The tree's depth is that of the longest text's parts."""
+    group = F.floor(F.col("part") / fan).cast("int")
+    most = matrices.agg(F.max("part")).first()[0]
+    if most == 0:  # one matrix a text, from the only state at its beginning to the one that ends with the text
+        last = F.udf(lambda raw, rows: int(np.argmax(_read_matrix(bytes(raw), rows)[0])), "int")
+        return matrices.select("row", "part", F.lit(0).alias("i"), last("m", "rows").alias("j"))
+    above = work.put(matrices.withColumn("part0", group).groupBy("row", "part0").applyInPandas(_products, _MATRIX), f"level{level}")
+    ends = border_states(above, work, fan, level + 1).withColumnRenamed("part", "part0")
+    held = matrices.withColumn("part0", group).join(ends, ["row", "part0"])
+    return work.put(held.groupBy("row", "part0").applyInPandas(_inside, "row long, part int, i int, j int"), f"states{level}")
+
+
+def encode_giants(giants: DataFrame, codec: Codec, work: Workspace, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
+    """``giants(row, text)`` to ``(row, ids)`` by chunks that any number of tasks share."""
+    spark = work.spark
+    shared = spark.sparkContext.broadcast(codec)
+    parts = work.put(giants.where("text <> ''").mapInArrow(_split(shared, chunk), "row long, part int, left int, right int, text string").repartition("row", "part"), "chunks")
+    matrices = work.put(parts.mapInArrow(_matrices(shared), _MATRIX), "matrices")
 
     @F.arrow_udf("array<int>")
-    def traced(text: pa.Array, size: pa.Array, left: pa.Array, right: pa.Array) -> pa.Array:
+    def traced(text: pa.Array, left: pa.Array, right: pa.Array, i: pa.Array, j: pa.Array) -> pa.Array:
         c = shared.value
-        return pa.array([_ids(c.chunk_ids(*x)) for x in zip(text.to_pylist(), size.to_pylist(), left.to_pylist(), right.to_pylist(), strict=True)], pa.list_(pa.int32()))
+        return pa.array([_ids(c.chunk_ids(*x)) for x in zip(*(a.to_pylist() for a in (text, left, right, i, j)), strict=True)], pa.list_(pa.int32()))
 
-    ids = parts.join(chosen, ["row", "part"]).select("row", F.struct("part", traced("text", "size", "from_state", "to_state").alias("ids")).alias("p"))
+    states = border_states(matrices, work, fan)
+    ids = parts.join(states, ["row", "part"]).select("row", F.struct("part", traced("text", "left", "right", "i", "j").alias("ids")).alias("p"))
     return work.put(ids.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["ids"])).alias("ids")), "giants")
 
 
-def encoded(docs: DataFrame, model_path: str | None = None, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """``docs`` with the column ``piece_ids``."""
+def encoded(docs: DataFrame, model_path: str | None = None, giant: int = GIANT, chunk: int = CHUNK, check: bool = False) -> DataFrame:
+    """``docs`` with the column ``piece_ids``; with ``check`` also ``round_trip``, whether decoding them gives the text back (true for null)."""
     spark = docs.sparkSession
     small_batches(spark)
+    docs = docs.drop("piece_ids", *["round_trip"] * check)
     codec = Codec.load(model_path or default_model_path())
     is_giant = F.length("text") > giant
-    short = docs.where(F.coalesce(~is_giant, F.lit(True))).withColumn("piece_ids", encoder(codec, spark, giant)("text"))
+    short = docs.where(F.coalesce(~is_giant, F.lit(True)))
+    if check:
+        short = short.withColumn("piece_ids", both_ways(codec, spark, giant)("text"))
+        short = short.select(*docs.columns, F.col("piece_ids.ids").alias("piece_ids"), F.col("piece_ids.same").alias("round_trip"))
+    else:
+        short = short.withColumn("piece_ids", encoder(codec, spark, giant)("text"))
     large = docs.where(is_giant)
     if large.isEmpty():
         return short
     work = Workspace(spark, "pieces", keep=("rows", "giants"))
     with work:
-        rows = work.put(large.select(F.monotonically_increasing_id().alias("_row"), F.struct(*docs.columns).alias("_doc")), "rows")
-        ids = encode_giants(rows.select(F.col("_row").alias("row"), F.col("_doc.text").alias("text")), codec, work, chunk)
-    done = rows.join(ids.withColumnRenamed("row", "_row"), "_row", "left").select("_doc.*", F.coalesce("ids", F.array().cast("array<int>")).alias("piece_ids"))
+        rows = work.put(large.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "rows")
+        ids = encode_giants(rows.select("row", F.col("doc.text").alias("text")), codec, work, chunk)
+    done = rows.join(ids, "row").select("doc.*", F.col("ids").alias("piece_ids"))
+    if check:
+        done = done.withColumn("round_trip", decoder(codec, spark)("piece_ids").eqNullSafe(F.translate("text", BLANK, " ")))
     return short.unionByName(done)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: number of pieces, a digest of their ids, and whether decoding them gives the text back."""
-    docs = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    back = decoder(Codec.load(default_model_path()), spark)("piece_ids")
-    return docs.select(
-        "doc_id",
-        F.size("piece_ids").cast("long").alias("n_pieces"),
-        F.sha2(F.array_join("piece_ids", ",").cast("binary"), 256).alias("pieces_sha256"),
-        back.eqNullSafe(F.translate("text", BLANK, " ")).alias("round_trip"),
-    )
+    docs = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), check=True)
+    return docs.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("piece_ids", ",").cast("binary"), 256).alias("pieces_sha256"), "round_trip")
 
 
 QUERIES = {"op5_sentencepiece": op5_sentencepiece}
