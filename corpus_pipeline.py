@@ -4,10 +4,14 @@
 2. quality: documents that the neighbours' vote rejects go
 3. near duplicates: one document of each group stays, the one with the smallest id
 4. decontamination: documents that hold a window of a benchmark item go
-5. pieces: the remaining documents as SentencePiece ids
+5. pieces: the remaining documents as SentencePiece ids, decoded again to say whether that gives the text back
 
-Stages 1 to 4 return the columns of ``documents``; the last returns ``doc_id, n_pieces, piece_ids``.
+Stages 1 to 4 return the columns of ``documents``; the last returns ``doc_id, n_pieces, piece_ids, round_trip``.
 A stage's result is written as Parquet and read again as the next one's input.
+
+Defined results: a null or empty text is not toxic, has the sample's share as quality, no copies, no windows and null or no pieces; rows
+that repeat an id are judged each by its text; an empty table gives an empty one at every stage; further columns of the
+documents, whatever their names, are kept up to stage 4.
 """
 
 from __future__ import annotations
@@ -37,7 +41,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encoded(docs.select("doc_id", "text")).select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids")
+    out = sentencepiece_codec.encoded(docs.select("doc_id", "text"), check=True)
+    return out.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", "round_trip")
 
 
 STAGES = [
@@ -45,7 +50,7 @@ STAGES = [
     ("quality classifier", drop_low_quality),
     ("n-gram Jaccard join", drop_near_duplicates),
     ("benchmark decontamination", drop_contaminated),
-    ("SentencePiece encoding", encode_pieces),
+    ("SentencePiece encoding and decoding", encode_pieces),
 ]
 
 #: The classifiers and the segmentation can't be said in SQL; tests hold the stages against brute force.
