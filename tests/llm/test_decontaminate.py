@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from hoplite.llm import decontaminate as D
@@ -68,3 +69,28 @@ def test_clean_only_goes_by_rows(spark):
     docs = spark.createDataFrame([(1, f"x {passage} y", "en"), (1, "clean", "en"), (None, None, None), (2, passage[:20], "en")], "doc_id long, text string, lang string")
     out = D.clean_only(docs, spark.createDataFrame([(9, passage)], "item_id long, text string"))
     assert out.columns == docs.columns and sorted(map(str, (r.text for r in out.collect()))) == sorted(["clean", "None", passage[:20]])
+
+
+def test_clean_only_in_blocks(spark, monkeypatch):
+    docs, items = made(4)
+    monkeypatch.setattr(D, "BLOCK_BYTES", 150)
+    df = spark.createDataFrame([(a, b, 1, 2) for a, b in docs], "doc_id long, text string, row int, block int")
+    out = D.clean_only(df, spark.createDataFrame(items, "item_id long, text string"))
+    assert out.columns == df.columns
+    clean = [(d, t) for d, t in docs if not brute([(d, t)], items)[0][5]]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(clean, key=str)
+
+
+def test_a_block_takes_about_five_bytes_for_each_of_text():
+    import pickle
+
+    rng = random.Random(1)
+    items = [(str(i), " ".join(rng.choice("abcdefgh") * rng.randint(2, 9) for _ in range(200))) for i in range(400)]
+    assert len(pickle.dumps(D.Block(iter(items)))) < 8 * sum(len(t) for _, t in items)
+
+
+def test_windows_of_equal_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(D, "window_hashes", lambda h, k: D.mixed(h[: max(0, len(h) - k + 1)] * 0))
+    block = D.Block(iter([("p", "one two three"), ("q", "four five six")]))
+    monkeypatch.setattr(D, "windows_at", lambda h, starts, k: D.mixed(h[starts] * 0))
+    assert list(block.hits(D.Words(pa.array(["no", "four five six seven", "one two"]), D.ALPHANUMERIC))) == [(1, 3, {1})]
