@@ -4,14 +4,16 @@ For each language a context tree of bytes up to depth ``DEPTH`` holds, for
 every context, how often which byte followed. A byte costs ``-log2(c / (n + d))`` in
 the longest context that has seen it, and each longer context passed on the way costs its escape
 ``d / (n + d)``, with ``n`` bytes and ``d`` distinct ones seen there; below the empty
-context all symbols are alike. The trees are frozen after training and
-compiled to one dense table of costs (context, symbol, language): contexts that the
-union of trees keeps to depth 3, or else their two-byte suffix. The language with the
-least total code length wins; the score is its posterior under equal priors.
+context all symbols are alike. The trees are frozen after training and compiled to tables that all languages share: for
+depths 2 and 3, a bitmap of the symbols that any language has seen in a context, and one row of costs, a cell per language,
+for each bit that is set; other symbols take the context's escapes and the next shorter context. Nothing that the trees
+have counted is left out. The language with the least total code length wins; the score is its posterior under equal priors.
 
 Trees learn from a sample of distinct texts of each language, by hash, that ends with the text that reaches
 ``TRAIN_BYTES``; every language with a text has at least one. A text brings its first ``TRAIN_TEXT`` bytes, or more where a
-language has too few texts to reach ``TRAIN_BYTES`` so. The table has at most ``CELLS`` cells, for which the rarest deep contexts are cut off.
+language has too few texts to reach ``TRAIN_BYTES`` so. The tables grow with the distinct runs of four bytes in all samples times the number
+of languages; should they pass ``CELLS`` cells of 4 bytes (some hundred languages of mixed scripts do), the trees learn from the
+first half of every text of the sample, or a quarter, and so on.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; if there is nothing
 to learn from, all are ``und``. Equal code lengths go to the first language by name.
@@ -32,16 +34,55 @@ from hoplite.plans.workspace import Workspace
 DEPTH = 3
 #: Bytes of training text per language, and what the sample takes of a long text.
 TRAIN_BYTES, TRAIN_TEXT = 400_000, 1 << 16
-#: Cells of the compiled table: contexts x symbols x languages, 4 bytes each.
-CELLS = 24_000_000
+#: Cells of the compiled tables, 4 bytes each.
+CELLS = 50_000_000
 #: Bytes scored at a time.
 SLICE = 1 << 18
 
 
+class Level:
+    """Contexts of one depth: which symbols any language has seen there, what these cost in each language, and the escapes."""
+
+    def __init__(self, size: int, depth: int, counts: list[tuple[np.ndarray, np.ndarray]], below):
+        """``counts`` has, for each language, the codes of (context, symbol) and their numbers; ``below(contexts, symbols)`` the costs one level down."""
+        codes = np.unique(np.concatenate([c for c, _ in counts]))
+        contexts, row = np.unique(codes // size, return_inverse=True)
+        symbols = codes % size
+        self.size, self.words = size, -(-size // 64)
+        self.row = np.full(size**depth, -1, np.int32)
+        self.row[contexts] = np.arange(len(contexts))
+        bits = np.zeros((len(contexts), size + -size % 64), bool)
+        bits[row, symbols] = True
+        self.bits = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+        self.base = np.r_[0, np.cumsum(np.bitwise_count(self.bits))[:-1]].astype(np.int32)
+        self.escape = np.zeros((len(contexts), len(counts)), np.float32)
+        self.cost = below(contexts % size ** (depth - 1), row, symbols)
+        for i, (code, c) in enumerate(counts):
+            at = np.searchsorted(contexts, code // size)
+            n = np.bincount(at, weights=c, minlength=len(contexts))
+            d = np.bincount(at, minlength=len(contexts))
+            self.escape[:, i] = -np.log2(np.where(n > 0, d / np.maximum(n + d, 1), 1.0))
+            self.cost[:, i] += self.escape[row, i]
+            self.cost[np.searchsorted(codes, code), i] = -np.log2(c / (n + d)[at])
+
+    def find(self, contexts: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row of ``escape`` of each context, and row of ``cost`` of each pair; -1 where there is none."""
+        row = self.row[contexts]
+        word = np.maximum(row, 0) * np.int64(self.words) + (symbols >> 6)
+        bits, shift = self.bits[word], (symbols & 63).astype(np.uint64)
+        seen = (row >= 0) & (bits >> shift & np.uint64(1) != 0)
+        place = self.base[word] + np.bitwise_count(bits & ((np.uint64(1) << shift) - np.uint64(1)))
+        return row, np.where(seen, place, -1)
+
+    @property
+    def cells(self) -> int:
+        return self.cost.size + self.escape.size
+
+
 class ContextTrees:
     """Frozen statistics of all languages, compiled."""
 
-    def __init__(self, samples: dict[str, list[bytes]]):
+    def __init__(self, samples: dict[str, list[bytes]], cells: int = CELLS):
         self.langs = sorted(samples)
         seen = np.zeros(256, np.int64)
         for texts in samples.values():
@@ -51,26 +92,26 @@ class ContextTrees:
         self.symbol = np.ones(256, np.int64)
         known = np.flatnonzero(seen)
         self.symbol[known] = np.arange(len(known)) + 2
-        a = self.size = len(known) + 2
-        counts = {lang: [self._counts(texts, k) for k in range(DEPTH + 1)] for lang, texts in samples.items()}
-        # depth-3 contexts that stay, the most frequent first
-        every = np.concatenate([c[DEPTH][0] // a for c in counts.values()] + [np.empty(0, np.int64)])
-        weight = np.concatenate([c[DEPTH][1] for c in counts.values()] + [np.empty(0, np.int64)])
-        contexts, inverse = np.unique(every, return_inverse=True)
-        total = np.bincount(inverse, weights=weight, minlength=len(contexts))
-        room = max(0, CELLS // max(1, a * len(self.langs)) - a * a)
-        if len(contexts) > room:
-            contexts = np.sort(contexts[np.argsort(-total, kind="stable")[:room]])
-        self.deep = np.full(a**3, -1, np.int32)
-        self.deep[contexts] = np.arange(len(contexts))
-        self.shallow = len(contexts)
-        # rows: the deep contexts, then every two-symbol context
-        self.cost = np.empty(((len(contexts) + a * a) * a, len(self.langs)), np.float32)
-        for i, lang in enumerate(self.langs):
-            p2 = self._below(counts[lang], 2, np.arange(a * a))
-            deep = self._level(counts[lang][3], contexts, p2[contexts % (a * a)])
-            p = np.concatenate([deep, p2])
-            self.cost[:, i] = -np.log2(p).ravel().astype(np.float32)
+        self.size = len(known) + 2
+        part = 1
+        while True:
+            counts = [self._counted(samples[lang], part) for lang in self.langs]
+            distinct = sum(len(np.unique(np.concatenate([c[k][0] for c in counts]))) for k in (2, 3))
+            if 2 * distinct * len(self.langs) <= cells or part > 1 << 20:  # costs and escapes
+                break
+            part *= 2
+        empty = np.stack([self._costs(c[0], 1, np.full((1, self.size), 8.0)) for c in counts], axis=-1)
+        one = [self._costs(c[1], self.size, np.repeat(empty[:, :, i], self.size, axis=0)) for i, c in enumerate(counts)]
+        #: costs of (symbol before, symbol), dense
+        self.one = np.stack(one, axis=-1).reshape(self.size**2, -1).astype(np.float32)
+        a = self.size
+        self.two = Level(a, 2, [c[2] for c in counts], lambda shorter, row, symbols: self.one[shorter[row] * a + symbols])
+        self.three = Level(a, 3, [c[3] for c in counts], lambda shorter, row, symbols: self._from_two(shorter[row], symbols))
+
+    def _counted(self, texts: list[bytes], part: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each depth, codes of (context, next symbol) with their counts."""
+        cut = [t[: max(1, len(t) // part)] for t in texts]
+        return [self._counts(cut, k) for k in range(DEPTH + 1)]
 
     def _counts(self, texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
         """Codes of (k symbols, next symbol) with their counts."""
@@ -83,27 +124,34 @@ class ContextTrees:
             found.append(code)
         return np.unique(np.concatenate(found), return_counts=True)
 
-    def _level(self, counts, contexts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """Probabilities (context, symbol): what the context has seen, else its escape times the shorter context's."""
-        a = self.size
+    def _costs(self, counts: tuple[np.ndarray, np.ndarray], contexts: int, shorter: np.ndarray) -> np.ndarray:
+        """Costs (context, symbol) of one language: what the context has seen, else its escape and the cost in the shorter context."""
         codes, c = counts
-        at = np.searchsorted(contexts, codes // a)
-        at[at == len(contexts)] = 0
-        ok = contexts[at] == codes // a if len(contexts) else np.zeros(len(codes), bool)
-        at, sym, c = at[ok], codes[ok] % a, c[ok]
-        n = np.bincount(at, weights=c, minlength=len(contexts))
-        d = np.bincount(at, minlength=len(contexts))
-        escape = np.where(n > 0, d / np.maximum(n + d, 1), 1.0)
-        p = shorter * escape[:, None]
-        p[at, sym] = c / (n + d)[at]
-        return p
-
-    def _below(self, counts, k: int, contexts: np.ndarray) -> np.ndarray:
-        a = self.size
-        if k == 0:
-            return self._level(counts[0], np.zeros(1, np.int64), np.full((1, a), 1 / 256))
-        parents = self._below(counts, k - 1, np.arange(a ** (k - 1)))
-        return self._level(counts[k], contexts, parents[contexts % a ** (k - 1)])
+        at, symbol = codes // self.size, codes % self.size
+        n = np.bincount(at, weights=c, minlength=contexts)
+        d = np.bincount(at, minlength=contexts)
+        out = shorter - np.log2(np.where(n > 0, d / np.maximum(n + d, 1), 1.0))[:, None]
+        out[at, symbol] = -np.log2(c / (n + d)[at])
+        return out
+
+    def _from_two(self, contexts: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Costs of symbols behind contexts of two."""
+        row, place = self.two.find(contexts, symbols)
+        out = self.two.cost[np.maximum(place, 0)]
+        miss = np.flatnonzero(place < 0)
+        if len(miss):
+            r = row[miss]
+            out[miss] = self.one[contexts[miss] % self.size * self.size + symbols[miss]] + np.where(r >= 0, 1, 0).astype(np.float32)[:, None] * self.two.escape[np.maximum(r, 0)]
+        return out
+
+    def _from_three(self, contexts: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        row, place = self.three.find(contexts, symbols)
+        out = self.three.cost[np.maximum(place, 0)]
+        miss = np.flatnonzero(place < 0)
+        if len(miss):
+            r = row[miss]
+            out[miss] = self._from_two(contexts[miss] % self.size**2, symbols[miss]) + np.where(r >= 0, 1, 0).astype(np.float32)[:, None] * self.three.escape[np.maximum(r, 0)]
+        return out
 
     def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits per (text, language) of the texts that lie in ``data`` between ``offsets``."""
@@ -132,9 +180,7 @@ class ContextTrees:
                         p = offsets[max(0, first - DEPTH) : first] + j - lo
                         past[k - 1][p[(p >= 0) & (p < n)]] = 0
             two = past[1] * a + past[0]
-            row = self.deep[past[2] * a * a + two].astype(np.int64)
-            row = np.where(row >= 0, row, self.shallow + two)
-            cost = self.cost[row * a + s[lo - back :]]
+            cost = self._from_three(past[2] * a * a + two, s[lo - back :])
             inner = offsets[(offsets > lo) & (offsets < hi)] - lo
             cuts = np.unique(np.r_[0, inner])
             sums = np.add.reduceat(cost, cuts, axis=0, dtype=np.float64)

@@ -11,11 +11,11 @@ rng = random.Random(3)
 SAMPLES = {"a": ["".join(rng.choice("abcde é") for _ in range(rng.randint(0, 40))).encode() for _ in range(30)], "b": ["".join(rng.choice("cdefgh ü") for _ in range(rng.randint(0, 40))).encode() for _ in range(30)]}
 
 
-def brute(trees, text, lang):
+def brute(trees, text, lang, samples=SAMPLES):
     """Code length by walking the contexts, byte by byte."""
     counts = [defaultdict(Counter) for _ in range(4)]
     symbols = lambda b: [0] * 3 + [int(trees.symbol[x]) for x in b]
-    for x in SAMPLES[lang]:
+    for x in samples[lang]:
         s = symbols(x)
         for i in range(3, len(s)):
             for k in range(4):
@@ -48,9 +48,22 @@ def test_code_lengths(monkeypatch, piece):
     assert np.abs(got - [[brute(trees, t, lang) for lang in trees.langs] for t in texts]).max() < 1e-3
 
 
-def test_pruned_contexts_fall_back(monkeypatch):
-    monkeypatch.setattr(L, "CELLS", 4000)
-    trees = L.ContextTrees(SAMPLES)
+def test_twenty_languages_of_all_bytes():
+    """256 symbols and 20 languages: nothing is cut off, code lengths are those of the trees."""
+    g = np.random.default_rng(7)
+    samples = {f"l{i:02}": [((g.integers(0, 16, 300) * 17 + g.integers(0, 3, 300) * i) % 256).astype(np.uint8).tobytes(), bytes(range(256))] for i in range(20)}
+    trees = L.ContextTrees(samples)
+    assert trees.size == 258
+    texts = [samples["l03"][0][40:90], samples["l11"][0][7:60], bytes(range(200, 256)), g.integers(0, 256, 50).astype(np.uint8).tobytes()]
+    offsets = np.r_[0, np.cumsum([len(t) for t in texts])]
+    got = trees.code_lengths(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    assert np.abs(got - [[brute(trees, t, lang, samples) for lang in trees.langs] for t in texts]).max() < 1e-2
+    assert trees.langs[got[0].argmin()] == "l03" and trees.langs[got[1].argmin()] == "l11"
+
+
+def test_sample_is_cut_where_tables_would_outgrow_the_bound():
+    trees = L.ContextTrees(SAMPLES, cells=700)
+    assert trees.two.cells + trees.three.cells <= 700
     bits = trees.code_lengths(np.frombuffer(b"abcde", np.uint8), np.array([0, 5]))
     assert np.isfinite(bits).all() and bits[0, 0] < bits[0, 1]
 
