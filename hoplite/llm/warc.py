@@ -1,16 +1,20 @@
 """WARC archives: a writer of one gzip member per record, and a sequential reader.
 
 Writing: of pages with equal payloads of at least ``REVISIT_BYTES`` bytes, the one with the smallest id becomes
-a ``response``, the others ``revisit`` records that carry headers only and name it. Records leave the
-executors as rows of raw bytes through Spark's own text writer, whose row separator is an empty gzip
-member; so any file system that Spark can write will do, and every file is a valid multi-member archive.
+a ``response``, the others ``revisit`` records that carry headers only and name it. Each task packs its records into archives,
+closes one as soon as its bytes reach ``FILE_BYTES``, and hands it, as one row of raw bytes, to Spark's own text writer, which
+ends a file after each row; so any file system that Spark can write will do, and an archive is never larger than
+``FILE_BYTES`` and its last record, however long pages lie together. What the writer puts behind a row is an empty gzip member:
+every file is a valid multi-member archive.
 
 Reading: each archive is walked once from its start: incremental zlib decompression up to the end of a member,
-the record framed by its ``Content-Length``, its block and payload digests verified.
-A file is read whole, so the writer ends a file after as many records as hold about ``FILE_BYTES`` of payload.
+the record framed by its ``Content-Length``, its block and payload digests verified. One member at a time is held beside the
+archive's compressed bytes, which Spark reads as one value: archives of this writer are small, others may have up to 2 GB.
+
+Ids stand in record ids percent-encoded, so that any text can be one; a null id is written as none at all.
 
 Defined results: a null html is an empty payload; rows that repeat the smallest page_id of their payload are all responses; a null page_id is
-never referred to (payloads that only have null ids are all responses); other columns are ignored.
+never referred to (payloads that only have null ids are all responses); other columns are ignored. Line ends in a URI are percent-encoded.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +33,10 @@ from hoplite.llm.common import batches_of, small_batches, table, texts
 from hoplite.plans.workspace import Workspace, within
 
 REVISIT_BYTES = 100
-#: Payload bytes per archive, about, and records per archive at most.
-FILE_BYTES, FILE_RECORDS = 16 << 20, 20_000
+#: Compressed bytes at which an archive is closed.
+FILE_BYTES = 16 << 20
+#: What a null id is written as; ids themselves follow "page:".
+NOBODY = "<urn:nobody>"
 #: Rows of the table of repeated payloads that are sent to every executor at most; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Compressed bytes fed to the decompressor at a time.
@@ -54,14 +61,25 @@ def _member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def record_bytes(kind: str, record_id: str, uri: str | None, payload: bytes, refers_to: str | None = None) -> bytes:
+def _named(page: str | None) -> str:
+    return NOBODY if page is None else f"<urn:page:{quote(page, safe='', errors='surrogatepass')}>"
+
+
+def _page(name: str | None) -> str | None:
+    """The id that a record id stands for; a foreign one stands for itself."""
+    if name is None or name == NOBODY:
+        return None
+    return unquote(name[10:-1], errors="surrogatepass") if name.startswith("<urn:page:") else name
+
+
+def record_bytes(kind: str, record_id: str | None, uri: str | None, payload: bytes, refers_to: str | None = None) -> bytes:
     """One WARC/1.1 record as a gzip member; a revisit holds the HTTP headers only."""
     http = CRLF.join([b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8", b"Content-Length: %d" % len(payload)]) + CRLF * 2
     block = http + (payload if kind == "response" else b"")
     digest = lambda x: "sha256:" + hashlib.sha256(x).hexdigest()
     head = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", f"<urn:page:{record_id}>"),
+        ("WARC-Record-ID", _named(record_id)),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("Content-Type", "application/http; msgtype=response"),
         ("WARC-Block-Digest", digest(block)),
@@ -70,7 +88,7 @@ def record_bytes(kind: str, record_id: str, uri: str | None, payload: bytes, ref
     if uri is not None:
         head.append(("WARC-Target-URI", uri.replace("\r", "%0D").replace("\n", "%0A")))
     if refers_to is not None:
-        head += [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+        head += [("WARC-Refers-To", _named(refers_to)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
     head.append(("Content-Length", str(len(block))))
     text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n"
     return _member(text.encode("utf-8", "surrogatepass") + block + CRLF * 2)
@@ -106,7 +124,7 @@ def parse_record(member: bytes) -> Record:
     return Record(headers, rest[:length])
 
 
-def read_record(member: bytes) -> tuple[str, str | None, int, str, str, str | None]:
+def read_record(member: bytes) -> tuple[str | None, str | None, int, str, str, str | None]:
     """(id, uri, payload bytes, payload digest, type, id referred to), with the digests verified."""
     r = parse_record(member)
     if "sha256:" + hashlib.sha256(r.block).hexdigest() != r.headers["warc-block-digest"]:
@@ -116,15 +134,27 @@ def read_record(member: bytes) -> tuple[str, str | None, int, str, str, str | No
     digest = r.headers["warc-payload-digest"].removeprefix("sha256:")
     if r.headers["warc-type"] == "response" and (len(payload) != claimed or hashlib.sha256(payload).hexdigest() != digest):
         raise CorruptArchive("payload digest")
-    name = lambda k: r.headers[k].removeprefix("<urn:page:").removesuffix(">") if k in r.headers else None
-    return name("warc-record-id"), r.headers.get("warc-target-uri"), claimed, digest, r.headers["warc-type"], name("warc-refers-to")
+    return _page(r.headers["warc-record-id"]), r.headers.get("warc-target-uri"), claimed, digest, r.headers["warc-type"], _page(r.headers.get("warc-refers-to"))
 
 
-def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, uris, refers = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        out = [record_bytes("response" if r is None else "revisit", "" if i is None else i, u, p or b"", r) for i, u, r, p in zip(ids, uris, refers, texts(batch.column(3)), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+def _packer(file_bytes: int):
+    """Records as archives, one row each."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        packed = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["archive"])
+        for batch in batches:
+            ids, uris, refers = (batch.column(i).to_pylist() for i in range(3))
+            for page, uri, first, payload in zip(ids, uris, refers, texts(batch.column(3)), strict=True):
+                held.append(record_bytes("response" if first is None else "revisit", page, uri, payload or b"", first))
+                size += len(held[-1])
+                if size >= file_bytes:
+                    yield packed()
+                    held, size = [], 0
+        if held:
+            yield packed()
+
+    return pack
 
 
 _READ = pa.schema([("id", pa.string()), ("uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers", pa.string())])
@@ -136,24 +166,21 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from batches_of((read_record(m) for m in members(archive.as_py())), _READ)
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
+def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
     """Write ``pages(page_id, url, html)`` as archives below ``path``."""
     spark = pages.sparkSession
     small_batches(spark)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    work = Workspace(spark, "warc")
-    with work:
+    with Workspace(spark, "warc") as work:
         narrow = pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("size"))
         seen = narrow.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("k"))
         repeated = work.put(seen.where("k > 1 and first is not null").select("digest", "first"), "repeated")
-        total, count = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0)), F.count("*")).first()
-        per_file = min(FILE_RECORDS, max(1, FILE_BYTES * count // max(total, 1)))
         small = F.broadcast(repeated) if within(repeated, BROADCAST_ROWS) else repeated
         rows = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("digest")).join(small, "digest", "left")
         refers = F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first")).cast("string")
         rows = rows.select(F.col("page_id").cast("string").alias("id"), "url", refers.alias("refers"), "html")
-        records = rows.mapInArrow(_write, "record binary").select(F.col("record").cast("string"))
-        records.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", per_file).text(path)
+        archives = rows.mapInArrow(_packer(file_bytes), "archive binary").select(F.col("archive").cast("string"))
+        archives.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -168,8 +195,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Workspace(spark, "archives").path("warc")
     write_archives(pages, path)
     kind = dict(pages.dtypes)["page_id"]
-    back = lambda c: F.when(F.col(c) == "", None).otherwise(F.col(c)).cast(kind)
-    return read_archives(spark, path).select(back("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", back("refers").alias("refers_to"))
+    back = read_archives(spark, path)
+    return back.select(F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers").cast(kind).alias("refers_to"))
 
 
 QUERIES = {"op8_warc": op8_warc}

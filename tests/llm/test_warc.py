@@ -59,3 +59,30 @@ def test_members_in_small_pieces(monkeypatch):
     monkeypatch.setattr(W, "FEED", 3)
     two = W.record_bytes("response", "1", None, b"a" * 500) + W.EMPTY_MEMBER + W.record_bytes("revisit", "2", None, b"a" * 500, "1")
     assert [W.read_record(m)[4:] for m in W.members(two)] == [("response", None), ("revisit", "1")]
+
+
+def test_ids_of_any_text(spark, tmp_path):
+    """Empty ids, line ends, percent signs and the writer's own markers come back as they were; nothing is injected."""
+    ids = ["", "a\r\nContent-Length: 3", "50%25", "<urn:nobody>", ">", "日本", " x ", None]
+    rows = [(i, "u\r\nWARC-Type: x", f"payload {n % 4} " * 20) for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    W.write_archives(df, str(tmp_path / "w"))
+    got = {(r.id, r.record_type, r.refers, r.payload_bytes) for r in W.read_archives(spark, str(tmp_path / "w")).collect()}
+    expected = set()
+    for n, (i, _, html) in enumerate(rows):
+        first = min(x for x in (ids[n % 4], ids[n % 4 + 4]) if x is not None)
+        expected.add((i, "response" if i == first else "revisit", None if i == first else first, len(html)))
+    assert got == expected
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    """Large pages that lie together, behind many small ones: no archive outgrows the bound by more than a record."""
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, "u", "s" * 10) for i in range(300)] + [(1000 + i, "u", rng.randbytes(15_000).hex()) for i in range(30)]
+    W.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"), file_bytes=40_000)
+    sizes = [p.stat().st_size for p in (tmp_path / "w").glob("part-*")]
+    assert len(sizes) > 8 and max(sizes) < 40_000 + 20_000
+    got = W.read_archives(spark, str(tmp_path / "w"))
+    assert sorted(int(r.id) for r in got.select("id").collect()) == sorted(i for i, _, _ in rows)
