@@ -4,7 +4,9 @@ Rules of the form host and path prefix decide what they fit, and label the
 URLs that the trees learn from; the trees decide the rest. Training works on a table
 of at most about ``SAMPLE`` labelled rows with binned features: each
 level of a tree is one aggregation of gradients by (node, feature, bin), a result
-whose size depends on the bins only. A trained ensemble is a sum of
+whose size depends on the bins only. Suffix statistics are smoothed rates of blocked rows; while the trees
+learn, a row's rates are those of the other half of the sample, so that they show what rates tell of unseen rows.
+A trained ensemble is a sum of
 nested CASE expressions, so scoring is a single scan without shuffle.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and is judged by the trees; with no
@@ -100,6 +102,20 @@ def _bucket(key: str) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
+def _half() -> Column:
+    """Which half of the sample a row is in, by the hash of its URL."""
+    return F.pmod(F.xxhash64(F.coalesce(F.col("url"), F.lit("")), F.lit("half")), F.lit(2)).cast("int")
+
+
+def _rates(cells: list, p: float) -> dict[str, list[float]]:
+    """Smoothed rates of label 1 by bucket of each key, from rows ``(k, b, y, n)``."""
+    sums = {k: [[0.0, 0] for _ in range(BUCKETS)] for k in KEYS}
+    for r in cells:
+        sums[r.k][r.b][0] += r.y
+        sums[r.k][r.b][1] += r.n
+    return {k: [(y + 4 * p) / (n + 4) for y, n in sums[k]] for k in KEYS}
+
+
 @dataclass
 class Model:
     base: float
@@ -111,9 +127,12 @@ class Model:
     def features(self) -> list[str]:
         return [*NUMERIC, *(f"s_{k}" for k in KEYS)]
 
-    def with_features(self, df: DataFrame) -> DataFrame:
-        out = lexical(df)
-        return out.withColumns({f"s_{k}": F.element_at(F.array(*[F.lit(x) for x in self.rates[k]]), _bucket(k) + 1) for k in KEYS})
+    def with_features(self, df: DataFrame, halves: list[dict[str, list[float]]] | None = None) -> DataFrame:
+        """``df(url, host, path)`` with all features; with ``halves``, the rates of the half that a row is not in."""
+        pick = lambda rates, k: F.element_at(F.array(*[F.lit(x) for x in rates[k]]), _bucket(k) + 1)
+        if halves is None:
+            return lexical(df).withColumns({f"s_{k}": pick(self.rates, k) for k in KEYS})
+        return lexical(df).withColumns({f"s_{k}": F.when(_half() == 0, pick(halves[0], k)).otherwise(pick(halves[1], k)) for k in KEYS})
 
     @staticmethod
     def _walk(node: dict) -> Column:
@@ -148,14 +167,10 @@ def fit(labelled: DataFrame) -> Model:
         if not total[0]:
             return Model(-1.0, {k: [0.5] * BUCKETS for k in KEYS}, {}, [])
         p = min(max(total[1], 1e-3), 1 - 1e-3)
-        rates: dict[str, list[float]] = {}
-        stats = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _bucket(k).alias("b")) for k in KEYS])).alias("e"), "y").groupBy("e.k", "e.b").agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect()
-        for k in KEYS:
-            rates[k] = [p] * BUCKETS
-        for r in stats:
-            rates[r.k][r.b] = (r.y + 4 * p) / (r.n + 4)
-        model = Model(math.log(p / (1 - p)), rates, {}, [])
-        data = model.with_features(rows)
+        keys = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _bucket(k).alias("b")) for k in KEYS]))
+        stats = rows.select(_half().alias("half"), keys.alias("e"), "y").groupBy("half", "e.k", "e.b").agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect()
+        model = Model(math.log(p / (1 - p)), _rates(stats, p), {}, [])
+        data = model.with_features(rows, [_rates([r for r in stats if r.half != half], p) for half in (0, 1)])
         names = model.features
         cut = data.agg(*[F.percentile_approx(f, [i / BINS for i in range(1, BINS)], 2000).alias(f) for f in names]).first()
         model.cuts = {f: sorted(set(cut[f])) for f in names}
