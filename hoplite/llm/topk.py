@@ -8,14 +8,17 @@ taken by their leading slices only, which bounds the error of the sum; the
 rows that the most significant slices leave in question around the k-th are resolved by
 exact integer products.
 
-Candidates are scanned in place, a block per batch; queries are sent to the executors in groups of bounded
-size, and each task returns at most k rows per query, so what is shuffled depends on the number of tasks.
+The index is written once: a row per block with its ids, its integer vectors and their slices. Queries are sent to the executors in groups
+of bounded size, each group reads the index, and each task returns at most k rows per query, so what is
+shuffled depends on the number of tasks; the results of a group are written before the next one is sent.
+
+Vectors with a component of ``WIDE`` or more after scaling, as queries or as candidates, leave 64-bit arithmetic: they are kept as
+they came, in small blocks of their own, and their products are taken as whole numbers of any length.
 
 Defined results: vectors that are null or hold a null or non-finite component, and candidates whose dimension differs from
 the query's, take no part; a row with the query's vec_id is the query itself; a query id that repeats is asked
-once (its first vector by content); a null vec_id is never a query and ranks after all ids in ties. Scores are exact
-while components stay below 2**31 / 1024 and scores below 2**63; larger components are not supported and
-raise an error. Other columns are ignored.
+once (its first vector by content); a null vec_id is never a query and ranks after all ids in ties. Scores are ranked exactly; one
+beyond 64 bits is shown as the nearest 64-bit number. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,40 +30,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hoplite.llm.common import table
+from hoplite.llm.common import small_batches, table
+from hoplite.plans.workspace import Workspace
 
 SCALE, K, EVERY = 1024, 10, 100
-#: Rows of a block; its slices are what a task holds.
-BLOCK_ROWS = 1 << 15
+#: Rows and components of a block: what a task holds at a time. Wide blocks have fewer rows.
+BLOCK_ROWS, BLOCK_CELLS, WIDE_ROWS = 1 << 15, 1 << 21, 256
 #: Components of queries (count x dimension) sent at once.
 GROUP_CELLS = 2_000_000
 #: Trailing slices of the candidates' components that the sums leave out.
 DROPPED = 3
+#: Scaled components from which on products are not left to 64-bit numbers: 2**48 a product, for up to 32,768 components.
+WIDE = 1 << 24
+LONG = (1 << 63) - 1
 
 
-def quantised(vectors: DataFrame) -> DataFrame:
-    """``(vec_id, v)`` with integer components, of the vectors that take part."""
+def taking_part(vectors: DataFrame) -> DataFrame:
+    """``(vec_id, x)`` with components as doubles, of the vectors that take part."""
     x = F.col("embedding")
     whole = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return vectors.where(whole).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * SCALE)).alias("v"))
+    return vectors.where(whole).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: c.cast("double")).alias("x"))
+
+
+def is_wide(x: np.ndarray) -> bool:
+    return bool(np.abs(x).max() * SCALE >= WIDE - 1)
+
+
+def whole_numbers(x: np.ndarray) -> np.ndarray:
+    """``floor(1024 x)`` as Python's whole numbers, exact for every finite component."""
+    big = lambda c: int(c) * SCALE if abs(c) >= 1 << 53 else int(np.floor(c * SCALE))
+    return np.array([big(c) for c in x.ravel().tolist()], object).reshape(x.shape)
 
 
 class Slices:
-    """Bit slices of a block of integer vectors."""
-
-    def __init__(self, rows: np.ndarray, dropped: int = DROPPED):
-        self.rows, self.n = rows, len(rows)
-        self.low = rows.min(axis=0)
-        top = int((rows.max(axis=0) - self.low).max())
-        self.bits = max(1, top.bit_length())
-        self.dropped = min(dropped, self.bits - 1)
-        above = (rows - self.low).astype(np.uint64)
-        self.planes = np.empty((rows.shape[1], self.bits - self.dropped), object)
-        for b in range(self.dropped, self.bits):
+    """Bit slices of a block of integer vectors: ``planes[component, bit]`` is a bitmap of rows."""
+
+    def __init__(self, rows: np.ndarray, planes: np.ndarray, dropped: int):
+        self.rows, self.planes, self.dropped, self.n = rows, planes, dropped, len(rows)
+        self.valid = _words(np.packbits(np.ones(self.n, bool), bitorder="little"))
+
+    @classmethod
+    def of(cls, rows: np.ndarray, dropped: int = DROPPED) -> "Slices":
+        above = (rows - rows.min(axis=0)).astype(np.uint64)
+        bits = max(1, int(above.max()).bit_length())
+        dropped = min(dropped, bits - 1)
+        planes = np.empty((rows.shape[1], bits - dropped, -(-len(rows) // 64)), np.uint64)
+        for b in range(dropped, bits):
             packed = np.packbits((above >> np.uint64(b)) & np.uint64(1) != 0, axis=0, bitorder="little")
             for d in range(rows.shape[1]):
-                self.planes[d, b - self.dropped] = _words(packed[:, d])
-        self.valid = _words(np.packbits(np.ones(self.n, bool), bitorder="little"))
+                planes[d, b - dropped] = _words(packed[:, d])
+        return cls(rows, planes, dropped)
 
     def sums(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
         """Slices of the sum, over the signed binary digits of the query's components, of the kept slices so shifted, and the digits' sum.
@@ -76,8 +95,8 @@ class Slices:
                     digit = 2 - (q & 3)  # 1 or -1, so that the next digit is 0
                     q -= digit
                     total += 1 << shift
-                    for b, plane in enumerate(self.planes[d]):
-                        columns.setdefault(b + shift, []).append(plane if digit > 0 else plane ^ self.valid)
+                    for b in range(self.planes.shape[1]):
+                        columns.setdefault(b + shift, []).append(self.planes[d, b] if digit > 0 else self.planes[d, b] ^ self.valid)
                 q >>= 1
                 shift += 1
         out, at = [], 0
@@ -131,74 +150,122 @@ def _words(packed: np.ndarray) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def best_of_block(ids: np.ndarray, block: Slices, qid: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """(score, vec_id) of a block's k best other rows; one row more is fetched for each that is the query itself."""
-    own = int(np.count_nonzero(ids == qid))
-    rows = block.candidates(query, k + own)
-    rows = rows[ids[rows] != qid]
-    scores = block.rows[rows] @ query
-    by = np.lexsort((ids[rows], -scores))[:k]
-    return list(zip(scores[by].tolist(), ids[rows][by].tolist(), strict=True))
-
-
 NO_ID = np.iinfo(np.int64).max
+_INDEX = pa.schema([("dim", pa.int32()), ("dropped", pa.int32()), ("ids", pa.binary()), ("rows", pa.binary()), ("planes", pa.binary())])
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of ``(vec_id, x)``: 32-bit integers with slices, or (``dropped`` is -1) the components of wide vectors as they came."""
+    held: dict[tuple[int, bool], tuple[list[int], list[np.ndarray]]] = {}
+
+    def block(dim: int, wide: bool) -> pa.RecordBatch:
+        ids, rows = held.pop((dim, wide))
+        x = np.stack(rows)
+        if wide:
+            dropped, stored, planes = -1, x, b""
+        else:
+            stored = np.floor(x * SCALE).astype(np.int32)
+            slices = Slices.of(stored.astype(np.int64))
+            dropped, planes = slices.dropped, slices.planes.tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip((dim, dropped, np.array(ids, np.int64).tobytes(), stored.tobytes(), planes), _INDEX, strict=True)], schema=_INDEX)
+
+    for batch in batches:
+        values = batch.column(1)
+        flat, ends = values.flatten().to_numpy(zero_copy_only=False), np.cumsum(values.value_lengths().to_numpy())
+        for i, x in zip(batch.column(0).to_pylist(), np.split(flat, ends[:-1]) if len(ends) else [], strict=True):
+            kind = len(x), is_wide(x)
+            ids, rows = held.setdefault(kind, ([], []))
+            ids.append(NO_ID if i is None else i)
+            rows.append(x)
+            if len(rows) >= (WIDE_ROWS if kind[1] else min(BLOCK_ROWS, max(64, BLOCK_CELLS // kind[0]))):
+                yield block(*kind)
+    for kind in list(held):
+        yield block(*kind)
+
+
+class Block:
+    """A block of the index as read back."""
+
+    def __init__(self, dim: int, dropped: int, ids: bytes, rows: bytes, planes: bytes):
+        self.ids = np.frombuffer(ids, np.int64)
+        if dropped < 0:
+            self.slices, self.exact = None, whole_numbers(np.frombuffer(rows, np.float64).reshape(-1, dim))
+        else:
+            n = len(self.ids)
+            whole = np.frombuffer(rows, np.int32).reshape(n, dim).astype(np.int64)
+            self.slices = Slices(whole, np.frombuffer(planes, np.uint64).reshape(dim, -1, -(-n // 64)), dropped)
+            self.exact = whole
+
+    def best(self, qid: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """(score, vec_id) of the k best other rows; one row more is fetched for each that is the query itself."""
+        own = int(np.count_nonzero(self.ids == qid))
+        if self.slices is None or query.dtype == object:
+            rows = np.flatnonzero(self.ids != qid)
+            scores = np.concatenate([self.exact[part].astype(object) @ query.astype(object) for part in np.array_split(rows, -(-len(rows) // 1024))]) if len(rows) else np.empty(0, object)
+        else:
+            rows = self.slices.candidates(query, k + own)
+            rows = rows[self.ids[rows] != qid]
+            scores = self.exact[rows] @ query
+        found = sorted(zip((-scores).tolist(), self.ids[rows].tolist(), strict=True))[:k]
+        return [(-s, i) for s, i in found]
+
+
+def order_key(score: int) -> bytes:
+    """Bytes that sort as scores of any length do."""
+    size = (abs(score).bit_length() + 8) // 8
+    body = score.to_bytes(size, "big", signed=True)
+    return (0x8000 + size if score >= 0 else 0x8000 - size).to_bytes(2, "big") + body
+
+
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("key", pa.binary())])
 
 
 def _searcher(shared, k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = shared.value  # dimension -> (ids, matrix)
+        queries = shared.value  # dimension -> [(id, vector)]
         best: dict[int, list[tuple[int, int]]] = {}
-
-        def take(ids: list[int], rows: list[np.ndarray]) -> None:
-            for dim in {len(r) for r in rows}:
-                if dim not in groups:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = [c[i].as_py() for c in batch.columns]
+                if row[0] not in queries:
                     continue
-                mine = [i for i, r in enumerate(rows) if len(r) == dim]
-                block, own = Slices(np.stack([rows[i] for i in mine])), np.array([ids[i] for i in mine])
-                for qid, query in zip(*groups[dim], strict=True):
-                    got = best.get(qid, []) + best_of_block(own, block, qid, query, k)
+                block = Block(*row)
+                for qid, query in queries[row[0]]:
+                    got = best.get(qid, []) + block.best(qid, query, k)
                     best[qid] = sorted(got, key=lambda x: (-x[0], x[1]))[:k]
-
-        ids, rows = [], []
-        for batch in batches:
-            values = batch.column(1)
-            flat, ends = values.flatten().to_numpy().astype(np.int64), np.cumsum(values.value_lengths().to_numpy())
-            if len(flat) and np.abs(flat).max() >= 1 << 31:
-                raise ValueError("a component of 2**31 / 1024 or more")
-            ids += [NO_ID if i is None else i for i in batch.column(0).to_pylist()]
-            rows += np.split(flat, ends[:-1])
-            if len(rows) >= BLOCK_ROWS:
-                take(ids, rows)
-                ids, rows = [], []
-        if rows:
-            take(ids, rows)
-        found = [(q, i, s) for q, hits in best.items() for s, i in hits]
-        columns = list(zip(*found, strict=True)) if found else [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+        found = [(q, i, max(-LONG - 1, min(LONG, s)), order_key(s)) for q, hits in best.items() for s, i in hits]
+        columns = list(zip(*found, strict=True)) if found else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _FOUND, strict=True)], schema=_FOUND)
 
     return search
 
 
+def _asked(rows) -> dict[int, list[tuple[int, np.ndarray]]]:
+    """Queries by dimension, as integers, or as Python's whole numbers where they are wide."""
+    out: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for r in rows:
+        x = np.array(r.x, np.float64)
+        out.setdefault(len(x), []).append((r.vec_id, whole_numbers(x) if is_wide(x) else np.floor(x * SCALE).astype(np.int64)))
+    return out
+
+
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """The k best rows of each query, the rows whose vec_id ``every`` divides: ``query_id, rank, vec_id, score``."""
     spark = vectors.sparkSession
-    rows = quantised(vectors)
-    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    sizes = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
-    groups = max(1, -(-sizes[1] // GROUP_CELLS))
-    schema = "query_id long, vec_id long, score long"
-    parts = None
-    for g in range(groups):  # a group of queries against all rows
-        mine = asked if groups == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g)
-        by_dim: dict[int, tuple[list[int], list[np.ndarray]]] = {}
-        for r in mine.toLocalIterator():
-            ids, queries = by_dim.setdefault(len(r.v), ([], []))
-            ids.append(r.vec_id)
-            queries.append(np.array(r.v, np.int64))
-        part = rows.mapInArrow(_searcher(spark.sparkContext.broadcast(by_dim), k), schema)
-        parts = part if parts is None else parts.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    small_batches(spark)
+    with Workspace(spark, "topk", keep=("best",)) as work:
+        rows = taking_part(vectors)
+        index = work.put(rows.mapInArrow(_index, "dim int, dropped int, ids binary, rows binary, planes binary"), "index")
+        asked = work.put(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x")), "asked")
+        cells = asked.agg(F.coalesce(F.sum(F.size("x")), F.lit(0))).first()[0]
+        groups = max(1, -(-cells // GROUP_CELLS))
+        best = None
+        for g in range(groups):  # a group of queries against all rows
+            mine = _asked(asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g).toLocalIterator())
+            found = index.mapInArrow(_searcher(spark.sparkContext.broadcast(mine), k), "query_id long, vec_id long, score long, key binary")
+            best = work.add(found, "best")
+    order = Window.partitionBy("query_id").orderBy(F.desc("key"), "vec_id")
+    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.when(F.col("vec_id") != int(NO_ID), F.col("vec_id")).alias("vec_id"), "score")
 
 
