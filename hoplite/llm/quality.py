@@ -3,7 +3,7 @@
 A text's terms are runs of three character classes, shares of repeated words and its
 compressibility. Term weights (log counts times inverse document frequency, unit length) of a
 labelled sample are reduced by a singular value decomposition to ``RANK`` latent dimensions. The
-sample's vectors, at most about ``SAMPLE``, are broadcast; each document is projected, its cosines with all of
+sample's vectors, about ``SAMPLE`` of one text an id and up to ``SAMPLE_BYTES`` of text (texts above ``TRAIN_TEXT`` characters by windows), are broadcast; each document is projected, its cosines with all of
 them are computed exactly, batch by batch, and the ``NEIGHBOURS`` nearest vote with their similarity as weight.
 
 Defined results: null and empty texts have no terms and get the sample's share of label 1; without labels every score is
@@ -13,16 +13,17 @@ one half. Ties in similarity go to the earlier sample vector; other columns are
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hoplite.llm.common import fold, small_batches, table, texts
+from hoplite.llm.common import fold, slices, small_batches, table, texts, word_hashes
 from hoplite.llm.labelled import labelled_sample
 
-SAMPLE, TRAIN_TEXT = 3_000, 1 << 16
+SAMPLE, SAMPLE_BYTES, TRAIN_TEXT = 3_000, 48 << 20, 1 << 16
 RANK, NEIGHBOURS, THRESHOLD = 32, 15, 0.3
 
 _CLASSES = 12
@@ -37,28 +38,44 @@ def _classes() -> np.ndarray:
     return out
 
 
-CLASS_OF = _classes()
+CLASS_OF = _classes().astype(np.uint8)
+BLANK = CLASS_OF[[32]]
+#: Characters whose runs are counted at a time.
+SPAN = 1 << 20
 _GRAMS = _CLASSES**3
 _LEVELS = 10
 TERMS = _GRAMS + 4 * _LEVELS
 
 
+def _kinds(parts) -> tuple[int, int, int]:
+    """How many pieces lists of them hold, how many different ones, and how many are equal to the one before; long texts by their hashes."""
+    held: list[np.ndarray] = []
+    first = next(parts)
+    second = next(parts, None)
+    if second is None:
+        return len(first), len(set(first)), sum(map(bytes.__eq__, first, first[1:]))
+    for part in chain((first, second), parts):
+        held.append(word_hashes(part))
+    h = np.concatenate(held)
+    return len(h), len(np.unique(h)), int(np.count_nonzero(h[1:] == h[:-1]))
+
+
 def terms(text: bytes | None) -> np.ndarray | None:
     """Term counts of a text; None if it has none."""
     if not text or not text.strip():
         return None
-    c = CLASS_OF[np.frombuffer(b" " + text + b" ", np.uint8)]
+    c = np.concatenate([BLANK, CLASS_OF[np.frombuffer(text, np.uint8)], BLANK])
     out = np.zeros(TERMS, np.float32)
-    out[:_GRAMS] = np.bincount(c[:-2] * (_CLASSES * _CLASSES) + c[1:-1] * _CLASSES + c[2:], minlength=_GRAMS)
-    words = text.lower().split()
-    lines = text.split(b"\n")
-    n = len(words)
-    shares = (
-        len(set(words)) / n,
-        sum(map(bytes.__eq__, words, words[1:])) / n,
-        len(set(lines)) / len(lines),
-        min(1.0, len(zlib.compress(text, 1)) / len(text)),
-    )
+    runs = np.zeros(_GRAMS, np.int64)
+    for lo in range(0, len(c) - 2, SPAN):
+        x = c[lo : lo + SPAN + 2].astype(np.int16)
+        runs += np.bincount(x[:-2] * (_CLASSES * _CLASSES) + x[1:-1] * _CLASSES + x[2:], minlength=_GRAMS)
+    out[:_GRAMS] = runs
+    n, distinct, repeated = _kinds(part.lower().split() for part in slices(text))
+    lines, distinct_lines, _ = _kinds(part.removesuffix(b"\n").split(b"\n") for part in slices(text + b"\n", b"\n"))
+    z = zlib.compressobj(1)
+    packed = sum(len(z.compress(part)) for part in slices(text)) + len(z.flush())
+    shares = (distinct / n, repeated / n, distinct_lines / lines, min(1.0, packed / len(text)))
     strength = 0.5 * len(c) ** 0.5  # the shares weigh about as much as common runs do
     for i, s in enumerate(shares):
         x = min(s, 0.999) * _LEVELS
@@ -124,8 +141,7 @@ def train(sample: list[tuple[bytes, int]]) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = labelled_sample(docs, labels, "quality", SAMPLE, TRAIN_TEXT).collect()
-    return train(sorted((r.text.encode("utf-8", "surrogatepass"), r.y) for r in rows))
+    return train(labelled_sample(docs, labels, "quality", SAMPLE, TRAIN_TEXT, SAMPLE_BYTES))
 
 
 def scorer(model: Model, spark: SparkSession):

@@ -1,13 +1,14 @@
 """Toxicity by weak supervision.
 
 Voters: one for each word and word beginning that a lexicon search over a labelled sample finds telling, one for a
-fixed seed lexicon, some for patterns of writing, and the annotators' label itself. A
-voter fires or abstains. A generative model of the votes is fitted by expectation maximisation: how often
-each voter fires under either class, and how voters correlate within a class; correlated
-voters share their say. Its posteriors, not the labels, train a logistic classifier on the
-(log) counts of the voters and of the lexicon voters together, which scores every text.
+fixed seed lexicon, some for patterns of writing, and the annotators, who vote on the documents that they
+have judged. A voter fires or abstains. A generative model of the votes is fitted by expectation maximisation to judged and
+unjudged documents alike: how often each voter fires under either class, how often the annotators say the class,
+and how voters correlate within a class; correlated voters share their say. Its posteriors, not the labels, train a logistic
+classifier on the (log) counts of the voters and of the lexicon voters together, which scores every text.
 
-The sample has at most about ``SAMPLE`` labelled documents, of up to ``TRAIN_TEXT`` bytes.
+The samples have about ``SAMPLE`` labelled and ``UNLABELLED`` other documents of up to ``SAMPLE_BYTES`` each, one text an id; texts above
+``TRAIN_TEXT`` characters are represented by windows of them.
 
 Defined results: null and empty texts fire no voter and get the score of such a text; without labels only the seed
 lexicon and the patterns vote. Repeated rows get equal scores; other columns are ignored.
@@ -23,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hoplite.llm.common import fold, small_batches, table, texts
+from hoplite.llm.common import fold, slices, small_batches, table, texts
 from hoplite.llm.decontaminate import words_of
-from hoplite.llm.labelled import labelled_sample
+from hoplite.llm.labelled import labelled_sample, unlabelled_sample
 
-SAMPLE, TRAIN_TEXT = 8_000, 1 << 16
+SAMPLE, UNLABELLED, SAMPLE_BYTES, TRAIN_TEXT = 8_000, 4_000, 32 << 20, 1 << 16
+#: Prior counts of the annotators being right and wrong.
+RIGHT, WRONG = 29.0, 1.0
 #: Lexicon voters at most, and the documents that must show one.
 VOTERS, LEAST_DOCS = 600, 4
 #: Lengths of word beginnings, in characters.
@@ -70,19 +73,20 @@ class Voters:
         """Voter number to how often it fires; under ``count`` the words for which any lexicon voter fires."""
         if not text:
             return {}
-        words = words_of(text)
-        distinct = set(words)
-        if len(self.seen) > CACHE:
-            self.seen, self.telling = set(), {}
-        for w in distinct - self.seen:
-            self._learn(w)
-        self.seen |= distinct
         found: Counter = Counter()
-        if hits := distinct & self.telling.keys():
-            for w in words:
-                if w in hits:
-                    found.update(self.telling[w])
-                    found[self.count] += 1
+        for part in slices(text):
+            words = words_of(part)
+            distinct = set(words)
+            if len(self.seen) > CACHE:
+                self.seen, self.telling = set(), {}
+            for w in distinct - self.seen:
+                self._learn(w)
+            self.seen |= distinct
+            if hits := distinct & self.telling.keys():
+                for w in words:
+                    if w in hits:
+                        found.update(self.telling[w])
+                        found[self.count] += 1
         for i, p in enumerate(self.compiled):
             if p.search(text):
                 found[self.count - len(PATTERNS) + i] = 1
@@ -118,22 +122,24 @@ def find_voters(sample: list[tuple[bytes, int]]) -> Voters:
 
 
 def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 15) -> np.ndarray:
-    """Posterior of class 1 for each row of 0/1 ``votes``; ``labels`` (0, 1, or -1 for none) is one more voter.
+    """Posterior of class 1 for each row of 0/1 ``votes``; ``labels`` (0, 1, or -1 where they abstain) are the annotators' votes.
 
-    Each voter has a firing rate per class; its log-odds are divided by one plus its positive correlations
-    with the other voters within the classes, so that voters that say the same are not counted twice.
+    Each voter has a firing rate per class, the annotators a rate of saying the class; a voter's log-odds are divided by one plus its
+    positive correlations with the other voters within the classes, so that voters that say the same are not counted twice.
     """
     if not len(votes):
         return np.zeros(0)
     p = np.where(labels >= 0, np.where(labels == 1, 0.95, 0.05), np.where(votes.sum(axis=1) > 0, 0.5, 0.1))
-    sure = np.log(0.97 / 0.03)
     say = np.ones(votes.shape[1])
     for step in range(rounds):
         w1, w0 = p.sum() + 1e-9, (1 - p).sum() + 1e-9
         t1, t0 = (p @ votes + 0.5) / (w1 + 1), ((1 - p) @ votes + 0.5) / (w0 + 1)
+        # the annotators say 1 in class 1, and 1 in class 0
+        said1 = (p[labels == 1].sum() + RIGHT) / (p[labels >= 0].sum() + RIGHT + WRONG)
+        said0 = ((1 - p)[labels == 1].sum() + WRONG) / ((1 - p)[labels >= 0].sum() + RIGHT + WRONG)
         if step % 5 == 0:
             spread = np.zeros((votes.shape[1],) * 2)
-            for w, total, t in ((p, w1, t1), (1 - p, w0, t0)):
+            for w, t in ((p, t1), (1 - p, t0)):
                 c = votes - t
                 spread += (c * w[:, None]).T @ c / (w1 + w0)
             dev = np.sqrt(np.maximum(np.diag(spread), 1e-9))
@@ -141,9 +147,8 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 15) -> np.n
             np.fill_diagonal(r, 0)
             r[r < 0.1] = 0  # sampling noise
             say = 1 / (1 + r.sum(axis=1))
-        prior = np.log(w1 / w0)
-        odds = prior + votes @ (say * np.log(t1 / t0)) + (1 - votes) @ (say * np.log((1 - t1) / (1 - t0)))
-        odds += np.where(labels == 1, sure, np.where(labels == 0, -sure, 0))
+        odds = np.log(w1 / w0) + votes @ (say * np.log(t1 / t0)) + (1 - votes) @ (say * np.log((1 - t1) / (1 - t0)))
+        odds += np.where(labels == 1, np.log(said1 / said0), np.where(labels == 0, np.log((1 - said1) / (1 - said0)), 0))
         p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return p
 
@@ -188,25 +193,26 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train(sample: list[tuple[bytes, int]]) -> Model:
+def train(sample: list[tuple[bytes, int]], unlabelled: list[bytes] = ()) -> Model:
     voters = find_voters(sample)
     if not sample:  # the seed lexicon alone
         weights = np.zeros(voters.count + 2)
         weights[voters.count - 1 - len(PATTERNS)], weights[-1] = 3.0, -2.0
         return Model(voters, weights)
-    fired = np.zeros((len(sample), voters.count + 1))
-    for i, (text, _) in enumerate(sample):
+    rows = [*sample, *((t, -1) for t in unlabelled)]
+    fired = np.zeros((len(rows), voters.count + 1))
+    for i, (text, _) in enumerate(rows):
         for v, k in voters.fire(text).items():
             fired[i, v] = k
-    posterior = label_model((fired[:, :-1] > 0).astype(float), np.array([y for _, y in sample]))
+    posterior = label_model((fired[:, :-1] > 0).astype(float), np.array([y for _, y in rows]))
     weights = logistic(np.log1p(fired), posterior)
     weights[-1] -= best_cut(np.log1p(fired) @ weights[:-1] + weights[-1], posterior >= 0.5)
     return Model(voters, weights)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = labelled_sample(docs, labels, "toxic", SAMPLE, TRAIN_TEXT).collect()
-    return train(sorted((r.text.encode("utf-8", "surrogatepass"), r.y) for r in rows))
+    sample = labelled_sample(docs, labels, "toxic", SAMPLE, TRAIN_TEXT, SAMPLE_BYTES)
+    return train(sample, unlabelled_sample(docs, labels, "toxic", UNLABELLED, TRAIN_TEXT, SAMPLE_BYTES) if sample else [])
 
 
 def scorer(model: Model, spark: SparkSession):
