@@ -21,8 +21,6 @@ to learn from, all are ``und``. Equal code lengths go to the first language by n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession

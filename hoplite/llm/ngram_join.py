@@ -10,12 +10,20 @@ keeps the matrix' columns short.
 * Columns of at most ``COLUMN`` documents are multiplied in one pass over
   the incidence sorted by shingle. Overlap counts accumulate per pair, and pairs
   below bounds that follow from the two sizes are dropped.
-* Longer columns (large groups of near copies, passages that many documents
-  consist of) first link to one pivot each. What shares a component with its
-  pivot need not be compared among itself; the remaining documents of the column
-  are multiplied block by block with each other and with the pivot's component,
-  after bitmap sketches have ruled out the rows that cannot link.
-* Every surviving pair is verified on its complete shingle sets.
+* In longer columns (large groups of near copies, passages that many documents
+  consist of) every document is paired with one pivot.
+* Pairs are verified on complete shingle sets in two rounds: first one partner of each document, which joins most groups,
+  then those pairs whose ends are still in different components and whose bitmap sketches leave a link possible. For
+  a verification the text of a document goes to the tasks of its partners, in parts where these are many.
+* What shares a component with its pivot need not be compared among itself; the remaining documents of a long
+  column are multiplied with each other and with the pivot's component, block by block, blocks being
+  cut by size so that only those of neighbouring sizes meet, after sketches have ruled out the rows that cannot link.
+
+Long columns may be hot keys: what there is once per column is broadcast while it is small, beyond that it is
+copied to ``PARTS`` parts of each column.
+
+Words and shingles are compared by 64-bit hashes, whole sets by two of them: sets whose first digests are equal by accident are told
+apart by the second and named anew. Intermediate tables are deleted as soon as their readers have been written.
 
 Defined results: null and blank texts have size 0 and no links; equal sets are one class and
 count as linked; rows that repeat a doc_id each get a row; a null doc_id gets a
@@ -33,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hoplite.llm.common import batches_of, mixed, small_batches, table, texts, window_hashes, word_hashes
+from hoplite.llm.common import Words, batches_of, small_batches, table, window_hashes
 from hoplite.llm.components import connected_components
 from hoplite.plans.workspace import Workspace, within
 
@@ -45,20 +53,27 @@ BLOCK = 256
 ORDER_SAMPLE, ORDER_SIZE = 8, 1 << 18
 #: Ids sent to every executor at once at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Parts of a long column where what it has once can't be broadcast.
+PARTS = 64
+#: Partners that one task verifies against a document.
+PARTNERS = 256
+#: Shingles in a window.
+SIZE = 5
 
 
-def shingle_set(text: bytes | None, words: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes of a text."""
-    tokens = text.lower().split() if text else []
-    if not tokens:
-        return np.empty(0, np.uint64)
-    hashed = word_hashes(tokens)
-    return np.unique(window_hashes(hashed, min(words, len(hashed))))
+def shingle_sets(column: pa.Array, size: int = SIZE) -> list[np.ndarray]:
+    """For each text, its sorted distinct 64-bit shingle hashes."""
+    words = Words(column)
+    windows = window_hashes(words.hashes, size)
+    bounds = words.bounds.tolist()
+    whole = lambda lo, hi: window_hashes(words.hashes[lo:hi], hi - lo) if hi > lo else np.empty(0, np.uint64)
+    return [np.unique(windows[lo : hi - size + 1]) if hi - lo >= size else whole(lo, hi) for lo, hi in zip(bounds, bounds[1:])]
 
 
-def set_id(shingles: np.ndarray) -> int:
-    """Signed 64-bit digest of a whole set; it stands for all documents with that set."""
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes()))))
+def set_ids(shingles: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit digests of a whole set; the first stands for all documents with that set."""
+    both = xxhash.xxh3_128_intdigest(shingles.tobytes())
+    return tuple(int(np.uint64(x).view(np.int64)) for x in (both >> 64, both & 0xFFFFFFFFFFFFFFFF))
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -92,8 +107,7 @@ def prefix_length(n, percent: int):
 
 def _sample_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingle_set(t) for t in texts(batch.column(0))]
-        u, c = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
+        u, c = np.unique(np.concatenate([*shingle_sets(batch.column(0)), np.empty(0, np.uint64)]), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], ["s", "c"])
 
 
@@ -124,55 +138,70 @@ def _ranks(shingles: np.ndarray, heavy: np.ndarray, counts: np.ndarray) -> np.nd
 
 
 def _scanner(order, percent: int, widest: int):
-    """Per document: size, set digest, and its first shingles with whether each is a long column.
+    """Per document: size, set digests, and its first shingles, those of long columns apart, with a sketch.
 
-    The first document of a set in a task brings the shingles, the others only the digest.
+    The first document of a set in a task brings the shingles, the others only the digests.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, counts = order.value
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for t in texts(batch.column(1)):
-                s = shingle_set(t)
-                g, common, rare, bits = None, None, None, None
+            out: list[list] = [[], [], [], [], [], []]
+            for s in shingle_sets(batch.column(2)):
+                g, common, rare, bits = (None, None), None, None, None
                 if len(s):
-                    g = set_id(s)
+                    g = set_ids(s)
                     if g not in seen:
                         seen.add(g)
                         rank = _ranks(s, heavy, counts)
                         first = np.argsort(rank, kind="stable")[: prefix_length(len(s), percent)]
                         long = rank[first] * ORDER_SAMPLE >= widest
                         rare, common, bits = s[first[~long]].view(np.int64), s[first[long]].view(np.int64), sketch(s)
-                for column, value in zip(out, (len(s), g, rare, common, bits), strict=True):
+                for column, value in zip(out, (len(s), *g, rare, common, bits), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.binary())],
-                ["doc_id", "n", "g", "rare", "common", "sketch"],
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, t.type) for c, t in zip(out, _SCANNED, strict=True))], ["doc_id", "row", *_SCANNED.names])
 
     return scan
 
 
+_SCANNED = pa.schema([("n", pa.int32()), ("g", pa.int64()), ("g2", pa.int64()), ("rare", pa.list_(pa.int64())), ("common", pa.list_(pa.int64())), ("sketch", pa.binary())])
+
+
+def scanned(docs: DataFrame, order, percent: int, widest: int, work: Workspace) -> DataFrame:
+    """``doc_id, row, n, g, rare, common, sketch`` of every document; ``row`` is a hash of id and text, ``g`` the name of its set."""
+    key = docs.select("doc_id").schema.simpleString()[7:-1]
+    numbered = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    scan = work.put(numbered.mapInArrow(_scanner(order, percent, widest), f"{key}, row long, n int, g long, g2 long, rare array<long>, common array<long>, sketch binary"), "scan")
+    shared = scan.where("g is not null").groupBy("g").agg(F.min("g2").alias("one"), F.max("g2").alias("two")).where("one <> two").select("g")
+    if shared.isEmpty():
+        return scan.drop("g2")
+    # sets that differ but share the first digest: about 3 in 10 billion
+    again = F.when(F.col("_known"), F.xxhash64("g", "g2")).otherwise(F.col("g"))
+    marked = scan.join(shared.withColumn("_known", F.lit(True)), "g", "left").withColumn("g", again)
+    return work.put(marked.drop("_known", "g2"), "scan2")
+
+
 def _close(a, b, percent: int):
     """The size bound: neither set is too small to reach the threshold with the other."""
-    return (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+    return np.int64(100) * np.minimum(a, b) >= np.int64(percent) * np.maximum(a, b)
 
 
 def _columns(percent: int, widest: int):
-    """Multiply the incidence, sorted by shingle, with its transpose: pairs of short columns, rows of long ones."""
+    """Multiply the incidence, sorted by shingle and set, with its transpose: pairs of short columns, rows of long ones."""
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 3
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
 
         def flush(s, g, n) -> Iterator[pa.RecordBatch]:
+            once = np.r_[True, (s[1:] != s[:-1]) | (g[1:] != g[:-1])]  # sets that several tasks have met
+            s, g, n = s[once], g[once], n[once]
             start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
             size = np.diff(np.r_[start, len(s)])
             long = np.repeat(size > widest, size)
             if long.any():
                 none = np.zeros(int(long.sum()), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (none + 1, s[long], g[long], n[long], none, none)], NAMES)
+                yield rows_of(none + 1, s[long], g[long], n[long], none, none)
             for first in range(0, len(start), 200_000):  # bounds the pairs held at once
                 st, sz = start[first : first + 200_000], size[first : first + 200_000]
                 for width in np.unique(sz):
@@ -193,71 +222,125 @@ def _columns(percent: int, widest: int):
                 by = np.lexsort((b, a))
                 a, b, na, nb = a[by], b[by], na[by], nb[by]
                 st = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.zeros(len(st), np.int64), a[st], b[st], na[st], nb[st], np.diff(np.r_[st, len(a)]))], NAMES)
+                yield rows_of(np.zeros(len(st), np.int64), a[st], b[st], na[st], nb[st], np.diff(np.r_[st, len(a)]))
+
+        def rows_of(*columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(t.type.to_pandas_dtype())) for x, t in zip(columns, PRODUCT, strict=True)], schema=PRODUCT)
 
+        waiting, size = [], 0
         for batch in batches:
-            got = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
-            if not len(got[0]):
-                continue
-            end = int(np.searchsorted(got[0], got[0][-1]))  # the last column may go on in the next batch
-            if end:
-                yield from flush(*[x[:end] for x in got])
-            held = [x[end:] for x in got]
+            waiting.append([c.to_numpy() for c in batch.columns])
+            size += batch.num_rows
+            if size >= AT_ONCE:
+                got = [np.concatenate(x) for x in zip(held, *waiting, strict=True)]
+                end = int(np.searchsorted(got[0], got[0][-1]))  # the last column may go on in the next batch
+                if end:
+                    yield from flush(*[x[:end] for x in got])
+                held, waiting, size = [x[end:] for x in got], [], 0
+        held = [np.concatenate(x) for x in zip(held, *waiting, strict=True)]
         if len(held[0]):
             yield from flush(*held)
 
     return product
 
 
-NAMES = ["kind", "a", "b", "na", "nb", "k"]
+PRODUCT = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32()), ("k", pa.int32())])
+#: Rows of the incidence multiplied at a time.
+AT_ONCE = 1 << 18
+
+
+def _owners(scan: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(g, row)``: for each of the sets ``ids(g)``, one document that has it."""
+    return scan.where("rare is not null").select("g", "row").join(ids, "g", "left_semi").groupBy("g").agg(F.min("row").alias("row"))
+
+
+def _with_text(docs: DataFrame, sent: DataFrame) -> DataFrame:
+    """``sent(row, ...)`` with the texts; the documents stay where they are while what is sent is small."""
+    hint = F.broadcast if within(sent, BROADCAST_IDS) else (lambda x: x)
+    return docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(hint(sent), "row")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(g, set)`` from ``(g, text)``, one row for each set in a task."""
+
     def rows():
+        seen: set[int] = set()
         for batch in batches:
-            for t in texts(batch.column(0)):
-                s = shingle_set(t)
-                if len(s):
-                    yield set_id(s), s.view(np.int64)
+            for g, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
+                if g not in seen:
+                    seen.add(g)
+                    yield g, s.view(np.int64)
 
     yield from batches_of(rows(), pa.schema([("g", pa.int64()), ("set", pa.list_(pa.int64()))]), 200)
 
 
 def needed_sets(docs: DataFrame, scan: DataFrame, ids: DataFrame, work: Workspace, name: str) -> DataFrame:
-    """Complete shingle sets ``(g, set)`` of the digests ``ids(g)``, made again from the texts that hold them."""
-    ids = work.put(ids.distinct(), f"{name}_g")
-    few = within(ids, BROADCAST_IDS)
-    hint = F.broadcast if few else (lambda x: x)
-    owners = work.put(scan.where("rare is not null and doc_id is not null").join(hint(ids), "g", "left_semi").groupBy("g").agg(F.min("doc_id").alias("doc_id")), f"{name}_own")
-    nameless = scan.where("rare is not null and doc_id is null").join(hint(ids), "g", "left_semi").join(owners, "g", "left_anti").select("g").distinct()
-    held = docs.select("doc_id", "text").join(hint(owners.select("doc_id").distinct()), "doc_id", "left_semi").select("text")
-    if not nameless.isEmpty():
-        held = held.unionByName(docs.where("doc_id is null").select("text"))
-    made = held.mapInArrow(_sets, "g long, set array<long>").join(hint(ids), "g", "left_semi")
-    return work.put(made.dropDuplicates(["g"]), name)
+    """Complete shingle sets ``(g, set)`` of the sets ``ids(g)``, made again from texts that have them."""
+    owners = work.put(_owners(scan, ids.distinct()), f"{name}_own")
+    made = _with_text(docs, owners).select("g", "text").mapInArrow(_sets, "g long, set array<long>")
+    work.put(made, name)
+    work.drop(f"{name}_own")
+    out = work.spark.read.parquet(work.path(name))
+    repeated = out.groupBy("g").count().where("count > 1")
+    return out if repeated.isEmpty() else out.dropDuplicates(["g"])
 
 
 def _verify(percent: int):
+    """Links among ``(a, part, partner, g, text)`` in this order: the text of ``a`` itself comes first, then its partners'."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, x, last = None, None, None
         for batch in batches:
-            a, b, sa, sb = batch.columns
-            keep = []
-            for x, y in zip(sa, sb, strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = np.sort(np.concatenate([x, y]))
-                k = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * k >= percent * (len(x) + len(y) - k))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
+            a, g, found = batch.column(0).to_pylist(), batch.column(3).to_pylist(), ([], [])
+            for p, partner, b, y in zip(a, batch.column(2).to_pylist(), g, shingle_sets(batch.column(4)), strict=True):
+                if not partner:
+                    pivot, x = p, y
+                elif p == pivot and (p, b) != last:
+                    at = np.searchsorted(x, y)
+                    at[at == len(x)] = 0
+                    k = int(np.count_nonzero(x[at] == y))
+                    if 100 * k >= percent * (len(x) + len(y) - k):
+                        found[0].append(p)
+                        found[1].append(b)
+                last = p, b
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
 
     return check
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose complete sets reach the threshold."""
-    left = sets.select(F.col("g").alias("a"), F.col("set").alias("sa"))
-    right = sets.select(F.col("g").alias("b"), F.col("set").alias("sb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long")
+_MOVED = "a long, part int, partner boolean, g long, text string"
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first of equal ``(a, part, partner, g)`` in a task."""
+    seen: set[tuple] = set()
+    for batch in batches:
+        keys = list(zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True))
+        fresh = [not (k in seen or seen.add(k)) for k in keys]
+        yield batch.filter(pa.array(fresh, pa.bool_()))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, scan: DataFrame, percent: int, work: Workspace, name: str) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose complete sets reach the threshold. The partners b of one a are dealt to parts of
+    PARTNERS; each part gets the texts of its partners and that of a."""
+    pairs = work.put(pairs.select("a", "b"), f"{name}_pairs")
+    parts = F.ceil(F.count("*") / PARTNERS).cast("int")
+    sizes = work.put(pairs.groupBy("a").agg(parts.alias("parts")), f"{name}_sizes")
+    hint = F.broadcast if within(sizes, BROADCAST_IDS) else (lambda x: x)
+    partners = pairs.join(hint(sizes), "a").select(F.col("b").alias("g"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("partner"))
+    itself = sizes.select(F.col("a").alias("g"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("partner"))
+    dealt = work.put(partners.unionByName(itself), f"{name}_dealt")
+    owners = _owners(scan, dealt.select("g").distinct())
+    sent = work.put(dealt.join(owners, "g").select("row", "a", "part", "partner", "g"), f"{name}_sent")
+    count = max(int(work.spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    moved = _with_text(docs, sent).select("a", "part", "partner", "g", "text")
+    repeated = scan.select("row").join(sent.select("row").distinct(), "row", "left_semi").groupBy("row").count().where("count > 1")
+    if not repeated.isEmpty():  # rows with the id and the text of another
+        moved = moved.mapInArrow(_once, _MOVED)
+    moved = moved.repartition(count, "a", "part")
+    out = work.put(moved.sortWithinPartitions("a", "part", "partner", "g").mapInArrow(_verify(percent), "a long, b long"), name)
+    work.drop(*(f"{name}_{x}" for x in ("pairs", "sizes", "dealt", "sent")))
+    return out
 
 
 def _star_filter(percent: int):
@@ -276,41 +359,67 @@ def _star_filter(percent: int):
     return check
 
 
+def _sides(key, frame):
+    """The rows of both blocks of a pair ``(s, level, i, side, other level, j)``; a block of the rest can meet itself."""
+    left, right = frame[frame.side == 0], frame[frame.side == 1]
+    return left, left if key[3] == 0 and key[1] == key[4] and key[2] == key[5] else right
+
+
+def _possible(key, frame, percent: int):
+    """``(row of the left block, its label, labels of right rows that it may link to, bounds of their overlaps)`` by sketches; only other components."""
+    left, right = _sides(key, frame)
+    for la, a in left.groupby(left.sketch.map(len)):
+        for lb, b in right.groupby(right.sketch.map(len)):
+            fa, fb = folded(list(a.sketch), min(la, lb) // 8), folded(list(b.sketch), min(la, lb) // 8)
+            nb, cb = b.n.to_numpy(), b.comp.to_numpy()
+            for i in range(len(a)):
+                n, c = a.n.iat[i], a.comp.iat[i]
+                maybe = np.flatnonzero((cb != c) & _close(n, nb, percent))
+                maybe = maybe[can_link(n, nb[maybe], fa[i], fb[maybe], percent)]
+                if len(maybe):
+                    yield a.index[i], b.index[maybe], np.bitwise_count(fa[i] ^ fb[maybe]).sum(axis=-1, dtype=np.int64)
+
+
 def _block_filter(percent: int):
-    """Rows of a pair of blocks that may link to another component, by their sketches."""
+    """Rows of a pair of blocks that may link to another component, each two in the least column that they share."""
 
     def rows(key, frame):
-        left, right = frame[frame.side == 0], frame[frame.side == 1]
-        if key[1] == key[2]:
-            right = left
         stay: set[int] = set()
-        for la, a in left.groupby(left.sketch.map(len)):
-            for lb, b in right.groupby(right.sketch.map(len)):
-                if max(la, lb) > 2 * min(la, lb):
-                    continue  # sizes too far apart
-                fa, fb = folded(list(a.sketch), min(la, lb) // 8), folded(list(b.sketch), min(la, lb) // 8)
-                nb, cb = b.n.to_numpy(), b.comp.to_numpy()
-                for i in range(len(a)):
-                    n, c = a.n.iat[i], a.comp.iat[i]
-                    maybe = np.flatnonzero((cb != c) & _close(n, nb, percent))
-                    maybe = maybe[can_link(n, nb[maybe], fa[i], fb[maybe], percent)]
-                    if len(maybe):
-                        stay.add(a.index[i])
-                        stay.update(b.index[maybe])
-        return frame.loc[sorted(stay), ["s", "i", "j", "side", "g", "n", "comp"]]
+        for i, others, _ in _possible(key, frame, percent):
+            mine = set(frame.columns_of[i])
+            here = [j for j in others if next(c for c in frame.columns_of[j] if c in mine) == key[0]]
+            if here:
+                stay.add(i)
+                stay.update(here)
+        return frame.loc[sorted(stay), [*PAIR, "side", "g", "n", "comp"]]
 
     return rows
 
 
+def _likeliest(percent: int):
+    """For each row of a pair of blocks the partner whose sketch differs least."""
+
+    def pairs(key, frame):
+        import pandas as pd
+
+        best: dict[int, tuple[int, int]] = {}
+        for i, others, apart in _possible(key, frame, percent):
+            for x, y, d in [(i, others[apart.argmin()], apart.min()), *((j, i, d) for j, d in zip(others, apart, strict=True))]:
+                if x not in best or (d, frame.g[y]) < best[x]:
+                    best[x] = d, frame.g[y]
+        found = {(min(frame.g[x], g), max(frame.g[x], g)) for x, (_, g) in best.items()}
+        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+
+    return pairs
+
+
 def _block_product(percent: int):
     """All overlaps of two blocks of a long column by a product of their incidence matrices; links of different components come out."""
 
     def product(key, frame):
         import pandas as pd
 
-        left, right = frame[frame.side == 0], frame[frame.side == 1]
-        if key[1] == key[2]:
-            right = left
+        left, right = _sides(key, frame)
         found: list[tuple[int, int]] = []
         if len(left) and len(right):
             na, nb = left.n.to_numpy(), right.n.to_numpy()
@@ -350,71 +459,162 @@ def _block_product(percent: int):
     return product
 
 
-def _long_columns(docs: DataFrame, scan: DataFrame, rows: DataFrame, links: DataFrame, percent: int, block: int, work: Workspace) -> DataFrame:
-    """All links that long columns ``rows(s, g, n)`` add to ``links``: first to a pivot, then block by block."""
-    pivots = rows.groupBy("s").agg(F.min(F.struct("n", "g")).alias("p")).select("s", F.col("p.g").alias("a"), F.col("p.n").alias("na"))
-    star = rows.join(work.put(pivots, "pivots"), "s").where("g <> a").where(F.expr(f"100 * least(n, na) >= {percent} * greatest(n, na)"))
-    star = work.put(star.select(F.least("a", "g").alias("a"), F.greatest("a", "g").alias("b")).distinct(), "star")
-    mine = scan.where("sketch is not null").join(rows.select("g").distinct(), "g", "left_semi").select("g", "n", "sketch").dropDuplicates(["g"])
-    sketches = work.put(mine, "sketches")
-    side = lambda x: sketches.select(F.col("g").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    star = work.put(star.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_star_filter(percent), "a long, b long"), "star2")
-    sets = needed_sets(docs, scan, star.select(F.explode(F.array("a", "b")).alias("g")), work, "star_sets")
-    links = work.put(links.unionByName(verified(star, sets, percent)), "links1")
-    comp = work.put(connected_components(links, work, "cc1_"), "comp1")
-    named = rows.join(comp.withColumnRenamed("id", "g"), "g", "left").select("s", "g", "n", F.coalesce("comp", "g").alias("comp"))
-    named = work.put(named, "named")
-    core = named.join(work.spark.read.parquet(work.path("pivots")).select("s", F.col("a").alias("g")), ["s", "g"], "left_semi").select("s", F.col("comp").alias("core"))
-    tail = named.join(core, "s").withColumn("in_core", F.col("comp") == F.col("core"))
-    counts = tail.groupBy("s").agg(F.sum(F.col("in_core").cast("long")).alias("k"), F.sum((~F.col("in_core")).cast("long")).alias("rest"), F.min("n").alias("lo"), F.max("n").alias("hi")).where("rest > 0")
-    open_ = work.put(tail.join(counts, "s").drop("core"), "open")
-    blocks = open_.withColumn("nr", F.ceil(F.col("rest") / block).cast("int")).withColumn("nc", F.ceil(F.col("k") / block).cast("int"))
-    blocks = blocks.withColumn("h", F.pmod(F.xxhash64("g"), F.when(F.col("in_core"), F.col("nc")).otherwise(F.col("nr"))).cast("int"))
-    # block pairs: (rest i, rest j) with i <= j, and (rest i, nr + core j)
-    pair = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
-    every = F.sequence(F.lit(0), F.col("nr") - 1)
-    of_core = F.transform(every, lambda i: pair(i, F.col("nr") + F.col("h"), 1))
-    mine = F.transform(F.sequence(F.col("h"), F.col("nr") + F.col("nc") - 1), lambda j: pair(F.col("h"), j, 0))
-    below = F.transform(F.filter(every, lambda i: i < F.col("h")), lambda i: pair(i, F.col("h"), 1))
-    dealt = blocks.select("s", "g", "n", "comp", F.explode(F.when(F.col("in_core"), of_core).otherwise(F.concat(mine, below))).alias("e")).select("s", "e.i", "e.j", "e.side", "g", "n", "comp")
-    maybe = dealt.join(sketches.select("g", "sketch"), "g").groupBy("s", "i", "j").applyInPandas(_block_filter(percent), "s long, i int, j int, side int, g long, n long, comp long")
-    maybe = work.put(maybe, "maybe")
+#: What names a pair of blocks.
+PAIR = ["s", "level", "i", "kind", "other", "j"]
+
+
+def by_column(rows: DataFrame, once: DataFrame) -> DataFrame:
+    """``rows(s, g, ...)`` joined with what each long column has once."""
+    if within(once, BROADCAST_IDS):
+        return rows.join(F.broadcast(once), "s")
+    copies = once.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    return rows.withColumn("_p", F.pmod(F.xxhash64("g"), F.lit(PARTS))).join(copies, ["s", "_p"]).drop("_p")
+
+
+def star_pairs(rows: DataFrame, percent: int, work: Workspace) -> DataFrame:
+    """``(a, b)``: in each long column of ``rows(s, g, n)`` every set with the pivot, where sizes leave a link possible."""
+    pivots = work.put(rows.groupBy("s").agg(F.min(F.struct("n", "g")).alias("p")).select("s", F.col("p.g").alias("pivot"), F.col("p.n").alias("np")), "pivots")
+    star = by_column(rows, pivots).where(f"g <> pivot and 100L * least(n, np) >= {percent} * greatest(n, np)")
+    return star.select(F.least("pivot", "g").alias("a"), F.greatest("pivot", "g").alias("b")).distinct()
+
+
+def named(rows: DataFrame, comp: DataFrame, column: str, out: str) -> DataFrame:
+    """``rows`` with the component of the set in ``column``; one without links is its own."""
+    return rows.join(comp.select(F.col("id").alias(column), F.col("comp").alias("_comp")), column, "left").withColumn(out, F.coalesce("_comp", column)).drop("_comp")
+
+
+def joined(comp: DataFrame, links: DataFrame, work: Workspace, label: str) -> DataFrame:
+    """Components ``(id, comp)`` after more ``links(a, b)``; only names of components meet again."""
+    if links.isEmpty():
+        return comp
+    between = named(named(links, comp, "a", "x"), comp, "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    up = work.put(connected_components(work.put(between, f"{label}_between"), work, f"{label}_"), f"{label}_up")
+    moved = named(comp.select("id", "comp"), up, "comp", "_new").select("id", F.col("_new").alias("comp"))
+    fresh = up.join(comp.select("id"), "id", "left_anti")
+    return work.put(moved.unionByName(fresh), label)
+
+
+def _dealt(scan: DataFrame, rows: DataFrame, comp: DataFrame, percent: int, block: int, work: Workspace, label: str) -> DataFrame | None:
+    """The rows of all pairs of blocks of the long columns ``rows(s, g, n)``, with sketches; None if every row shares its pivot's component."""
+    put = lambda df, name: work.put(df, f"{label}_{name}")
+    known = named(rows, comp, "g", "comp").select("s", "g", "n", "comp")
+    core = named(work.spark.read.parquet(work.path("pivots")).select("s", F.col("pivot").alias("g")), comp, "g", "core").select("s", "core")
+    level = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / min(percent, 99))) + 1e-9).cast("int")
+    tail = by_column(known, put(core, "core")).select("s", "g", "n", "comp", level.alias("level"), (F.col("comp") == F.col("core")).alias("in_core"))
+    tail = put(tail, "tail")
+    count = lambda what: F.ceil(F.sum(what.cast("long")) / block).cast("int")
+    sizes = tail.groupBy("s", "level").agg(count(~F.col("in_core")).alias("rest"), count(F.col("in_core")).alias("core"))
+    # one row a column: its blocks by level, of which there are as many as sizes have powers of 100 / percent
+    maps = sizes.groupBy("s").agg(F.max("rest").alias("most"), *(F.map_from_entries(F.collect_list(F.struct("level", x))).alias(f"{x}s") for x in ("rest", "core")))
+    maps = put(maps.where("most > 0").drop("most"), "levels")
+    if maps.isEmpty():
+        return None
+    open_ = by_column(tail, maps)
+    at = lambda m, shift: F.coalesce(F.try_element_at(m, F.col("level") + shift), F.lit(0))
+    mine = F.when(F.col("in_core"), at("cores", 0)).otherwise(at("rests", 0))
+    blocks = open_.withColumn("h", F.pmod(F.xxhash64("g"), mine).cast("int"))
+    numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def pair(level, i, kind, other, j, side):
+        return F.struct(level.cast("int").alias("level"), i.alias("i"), F.lit(kind).alias("kind"), other.cast("int").alias("other"), j.alias("j"), F.lit(side).alias("side"))
+
+    def with_core(d: int):
+        return F.transform(numbers(at("cores", d)), lambda j: pair(l, h, 1, l + d, j, 0))
+
+    def with_rest(d: int):
+        return F.transform(numbers(at("rests", d)), lambda i: pair(l + d, i, 1, l, h, 1))
+
+    l, h = F.col("level"), F.col("h")
+    # a block of the rest is the left side: of itself and later ones of its level, of all one level up, and of the core's around it
+    left = [F.transform(F.filter(numbers(at("rests", 0)), lambda j: j >= h), lambda j: pair(l, h, 0, l, j, 0)), F.transform(numbers(at("rests", 1)), lambda j: pair(l, h, 0, l + 1, j, 0)), *map(with_core, (-1, 0, 1))]
+    right = [F.transform(F.filter(numbers(at("rests", 0)), lambda i: i < h), lambda i: pair(l, i, 0, l, h, 1)), F.transform(numbers(at("rests", -1)), lambda i: pair(l - 1, i, 0, l, h, 1))]
+    of_core = [*map(with_rest, (-1, 0, 1))]
+    every = F.when(F.col("in_core"), F.concat(*of_core)).otherwise(F.concat(*left, *right))
+    dealt = blocks.select("s", "g", "n", "comp", F.explode(every).alias("e")).select("s", "e.*", "g", "n", "comp")
+    wanted = dealt.select("g").distinct()
+    sketches = put(scan.where("sketch is not null").select("g", "sketch").join(wanted, "g", "left_semi").groupBy("g").agg(F.min("sketch").alias("sketch")), "sketches")
+    columns = put(rows.join(wanted, "g", "left_semi").groupBy("g").agg(F.sort_array(F.collect_list("s")).alias("columns_of")), "columns")
+    return dealt.join(sketches.join(columns, "g"), "g")
+
+
+def _in_blocks(docs: DataFrame, scan: DataFrame, rows: DataFrame, comp: DataFrame, percent: int, block: int, work: Workspace) -> DataFrame:
+    """``comp`` after all links that long columns ``rows(s, g, n)`` add between components: first the likeliest partner of each row in each pair of
+    blocks, which many columns have in common, then the product of what is left."""
+    dealt = _dealt(scan, rows, comp, percent, block, work, "near")
+    if dealt is None:
+        return comp
+    near = dealt.groupBy(*PAIR).applyInPandas(_likeliest(percent), "a long, b long").distinct()
+    comp = joined(comp, verified(near, docs, scan, percent, work, "links3"), work, "comp3")
+    work.drop("near_core", "near_tail", "near_levels", "near_sketches", "near_columns")
+    dealt = _dealt(scan, rows, comp, percent, block, work, "block")
+    if dealt is None:
+        return comp
+    ddl = "s long, level int, i int, kind int, other int, j int, side int, g long, n int, comp long"
+    maybe = work.put(dealt.groupBy(*PAIR).applyInPandas(_block_filter(percent), ddl), "maybe")
+    work.drop("block_core", "block_tail", "block_levels", "block_sketches", "block_columns")
+    if maybe.isEmpty():
+        return comp
     sets = needed_sets(docs, scan, maybe.select("g"), work, "block_sets")
-    more = maybe.join(sets, "g").groupBy("s", "i", "j").applyInPandas(_block_product(percent), "a long, b long")
-    return work.put(links.unionByName(more), "links2")
+    links = work.put(maybe.join(sets, "g").groupBy(*PAIR).applyInPandas(_block_product(percent), "a long, b long"), "block_links")
+    work.drop("maybe", "block_sets")
+    return joined(comp, links, work, "comp4")
+
+
+def _components(docs: DataFrame, scan: DataFrame, percent: int, widest: int, block: int, work: Workspace) -> DataFrame:
+    """``(id, comp)`` of all sets with a link."""
+    rare = scan.where("rare is not null").select(F.explode("rare").alias("s"), "g", "n")
+    count = max(int(work.spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    multiplied = rare.repartition(count, "s").sortWithinPartitions("s", "g").mapInArrow(_columns(percent, widest), "kind int, a long, b long, na int, nb int, k int")
+    product = work.put(multiplied, "product")
+    na, nb = F.col("na").cast("long"), F.col("nb").cast("long")
+    least = F.ceil(F.lit(percent) * (na + nb) / F.lit(100 + percent))
+    beyond = F.ceil(F.lit(percent) * F.greatest(na, nb) / 100) - 1  # outside the first shingles of either
+    pairs = product.where("kind = 0").groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k")).where(F.col("k") + beyond >= least).select("a", "b")
+    common = scan.where("size(common) > 0").select(F.explode("common").alias("s"), "g", "n").unionByName(product.where("kind = 1").select(F.col("a").alias("s"), F.col("b").alias("g"), F.col("na").alias("n")))
+    common = work.put(common.distinct(), "common")
+    long = not common.isEmpty()
+    if long:
+        pairs = pairs.unionByName(star_pairs(common, percent, work)).distinct()
+    pairs = work.put(pairs, "pairs")
+    work.drop("product")
+    # one partner of each set, then what is still open between components
+    first = verified(pairs.groupBy("b").agg(F.min("a").alias("a")), docs, scan, percent, work, "links1")
+    comp = work.put(connected_components(first, work), "comp1")
+    apart = work.put(named(named(pairs, comp, "a", "x"), comp, "b", "y").where("x <> y").select("a", "b"), "apart")
+    work.drop("pairs")
+    if not apart.isEmpty():
+        ids = apart.select(F.explode(F.array("a", "b")).alias("g")).distinct()
+        sketches = work.put(scan.where("sketch is not null").select("g", "n", "sketch").join(ids, "g", "left_semi").groupBy("g", "n").agg(F.min("sketch").alias("sketch")), "sketches")
+        side = lambda x: sketches.select(F.col("g").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        maybe = apart.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_star_filter(percent), "a long, b long")
+        second = verified(maybe, docs, scan, percent, work, "links2")
+        comp = joined(comp, second, work, "comp2")
+        work.drop("sketches", "apart")
+    if long:
+        comp = _in_blocks(docs, scan, common, comp, percent, block, work)
+    return comp
+
+
+def _linked(docs: DataFrame, percent: int, widest: int, block: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """The scan of ``docs(doc_id, text)``, and the components ``(id, comp)`` of its sets."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    order = spark.sparkContext.broadcast(frequent_shingles(docs, work))
+    scan = scanned(docs, order, percent, widest, work)
+    return scan, _components(docs, scan, percent, widest, block, work)
 
 
 def ngram_components(docs: DataFrame, percent: int = 80, widest: int = COLUMN, block: int = BLOCK) -> DataFrame:
     """Every document with the size of its 5-word shingle set and its component: ``(doc_id, n_shingles, component_id)``."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select("doc_id", "text")
-    work = Workspace(spark, "ngram", keep=("result",))
-    with work:
-        order = spark.sparkContext.broadcast(frequent_shingles(docs, work))
-        scan = work.put(docs.mapInArrow(_scanner(order, percent, widest), docs.select("doc_id").schema.simpleString()[7:-1] + ", n long, g long, rare array<long>, common array<long>, sketch binary"), "scan")
-        rare = scan.where("rare is not null").select(F.explode("rare").alias("s"), "g", "n")
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-        product = work.put(rare.repartition(parts, "s").dropDuplicates(["s", "g"]).sortWithinPartitions("s").select("s", "g", "n").mapInArrow(_columns(percent, widest), "kind long, a long, b long, na long, nb long, k long"), "product")
-        least = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
-        beyond = F.greatest(F.ceil(F.lit(percent) * F.col("na") / 100), F.ceil(F.lit(percent) * F.col("nb") / 100)) - 1
-        pairs = product.where("kind = 0").groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k")).where(F.col("k") + beyond >= least)
-        pairs = work.put(pairs.select("a", "b"), "pairs")
-        sets = needed_sets(docs, scan, pairs.select(F.explode(F.array("a", "b")).alias("g")), work, "pair_sets")
-        links = work.put(verified(pairs, sets, percent), "links0")
-        work.drop("pair_sets")
-        common = scan.where("size(common) > 0").select(F.explode("common").alias("s"), "g", "n").unionByName(product.where("kind = 1").select(F.col("a").alias("s"), F.col("b").alias("g"), F.col("na").alias("n")))
-        common = work.put(common.distinct(), "common")
-        if not common.isEmpty():
-            links = _long_columns(docs, scan, common, links, percent, block, work)
-        comp = work.put(connected_components(links, work), "comp") if not links.isEmpty() else spark.createDataFrame([], "id long, comp long")
+    with Workspace(docs.sparkSession, "ngram", keep=("result",)) as work:
+        scan, comp = _linked(docs.select("doc_id", "text"), percent, widest, block, work)
         # classes of equal sets, then components of classes
         classes = scan.where("g is not null").groupBy("g").agg(F.min("doc_id").alias("first"))
-        classes = work.put(classes.join(comp.withColumnRenamed("id", "g"), "g", "left").select("g", "first", F.coalesce("comp", "g").alias("comp")), "classes")
-        least_id = work.put(classes.groupBy("comp").agg(F.min("first").alias("component_id")), "least")
-        named = work.put(classes.join(least_id, "comp").select("g", "component_id"), "byclass")
-        out = scan.where("g is not null").select("doc_id", "n", "g").join(named, "g").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-        alone = scan.where("g is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        classes = work.put(named(classes, comp, "g", "comp").select("g", "first", "comp"), "classes")
+        least_id = classes.groupBy("comp").agg(F.min("first").alias("component_id"))
+        by_class = work.put(classes.join(least_id, "comp").select("g", "component_id"), "byclass")
+        out = scan.where("g is not null").select("doc_id", "n", "g").join(by_class, "g").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+        alone = scan.where("g is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
         return work.put(out.unionByName(alone), "result")
 
 
@@ -422,25 +622,33 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
-def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: the smallest doc_id, ids before nulls, then by the hash of the text.
+def one_of_each_group(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component: the smallest doc_id, ids before nulls, then by the hash of the row.
 
     Rows are told apart by id and text, so a repeated doc_id loses only rows that a kept row stands for; rows without
-    words have no copies and stay. Keys to drop are broadcast up to BROADCAST_IDS of them, so the texts stay where they are.
+    words have no copies and stay. What goes is broadcast up to BROADCAST_IDS rows, so the texts stay where they are.
     """
-    work = Workspace(docs.sparkSession, "kept")
-    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
-    rows = ngram_components(docs.select(key.alias("doc_id"), "text")).where("n_shingles > 0")
-    by_key = rows.groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("rows"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"))
-    marked = work.put(by_key.where("first = 0 or rows > 1"), "marked")
-    dropped, repeated = marked.where("first = 0").select("_key"), marked.where("first = 1").select("_key")
+    with Workspace(docs.sparkSession, "kept", keep=("dropped", "repeated")) as work:
+        scan, comp = _linked(docs.select("doc_id", "text"), percent, COLUMN, BLOCK, work)
+        rows = scan.where("g is not null").select("g", "doc_id", "row")
+        order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+        classes = work.put(named(rows.groupBy("g").agg(F.min(order).alias("first"), F.count("*").alias("k")), comp, "g", "comp").select("g", "first", "k", "comp"), "classes")
+        several = classes.groupBy("comp").agg(F.min("first").alias("kept"), F.sum("k").alias("k")).where("k > 1")
+        of_set = work.put(classes.join(several.select("comp", "kept"), "comp").select("g", "kept"), "ofset")
+        hint = F.broadcast if within(of_set, BROADCAST_IDS) else (lambda x: x)
+        mine = rows.join(hint(of_set), "g").withColumn("first", (F.col("row") == F.col("kept.row")) & F.col("doc_id").eqNullSafe(F.col("kept.doc_id")))
+        counted = work.put(mine.groupBy("doc_id", "row", "first").agg(F.count("*").alias("k")), "counted")
+        dropped = work.put(counted.where("not first").select(F.struct("doc_id", "row").alias("gone")), "dropped")
+        repeated = work.put(counted.where("first and k > 1").select(F.struct("doc_id", "row").alias("again")), "repeated")
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.struct("doc_id", F.xxhash64("doc_id", "text").alias("row")).alias("key"))
+    same = lambda other: (whole["key.row"] == other["row"]) & whole["key.doc_id"].eqNullSafe(other["doc_id"])
     hint = F.broadcast if within(dropped, BROADCAST_IDS) else (lambda x: x)
-    out = docs.withColumn("_key", key).join(hint(dropped), "_key", "left_anti")
+    out = whole.join(hint(dropped), same(F.col("gone")), "left_anti")
     if not repeated.isEmpty():
         # rows of equal id and text: partial aggregates leave one a task before the shuffle
-        once = out.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
-        out = out.join(repeated, "_key", "left_anti").unionByName(once)
-    return out.select(*docs.columns)
+        once = out.join(repeated, same(F.col("again")), "left_semi").dropDuplicates(["key"])
+        out = out.join(repeated, same(F.col("again")), "left_anti").unionByName(once)
+    return out.select("doc.*")
 
 
 QUERIES = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join}

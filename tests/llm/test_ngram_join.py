@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from hoplite.llm import ngram_join as N
 
@@ -103,8 +102,102 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in order}, 100: 100, 101: 100}
 
 
-def test_verification_is_exact(spark):
-    sets = spark.createDataFrame([(1, [1, 2, 3, 4]), (2, [1, 2, 3, 4, 5]), (3, [1, 2, 3, 9, 10])], "g long, set array<long>")
-    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
-    assert [tuple(r) for r in N.verified(pairs, sets, 80).collect()] == [(1, 2)]
-    assert N.verified(pairs.where(F.lit(False)), sets, 80).count() == 0
+def _scan(spark, rows, work):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = spark.sparkContext.broadcast((np.empty(0, np.uint64), np.empty(0, np.int64)))
+    return docs, N.scanned(docs, order, 80, 64, work)
+
+
+@pytest.mark.parametrize("partners", [1, 256])
+def test_verification_is_exact(spark, monkeypatch, partners):
+    """Pairs at the border of the threshold, partners dealt to parts, rows that repeat, and a partner that fails."""
+    from hoplite.plans.workspace import Workspace
+
+    monkeypatch.setattr(N, "PARTNERS", partners)
+    w = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(w[:44])), (2, " ".join(w[:49])), (3, " ".join(w[:54])), (4, " ".join(w[5:44])), (5, " ".join(w[20:])), (2, " ".join(w[:49])), (None, " ".join(w[:45]))]
+    with Workspace(spark, "verify") as work:
+        docs, scan = _scan(spark, rows, work)
+        name = {r.doc_id: r.g for r in scan.collect()}
+        pairs = spark.createDataFrame([(name[1], name[x]) for x in (2, 3, 4, 5, None)] + [(name[2], name[3])], "a long, b long")
+        back = {g: d for d, g in name.items()}
+        got = {(back[r.a], back[r.b]) for r in N.verified(pairs, docs, scan, 80, work, "t").collect()}
+    jaccard = lambda x, y: len(shingles(x) & shingles(y)) / len(shingles(x) | shingles(y))
+    text = dict(rows)
+    assert got == {(a, b) for a, b in [(1, 2), (1, 3), (1, 4), (1, 5), (1, None), (2, 3)] if jaccard(text[a], text[b]) >= 0.8}
+    assert (1, 5) not in got and (1, 2) in got
+
+
+def test_sets_that_share_a_first_digest(spark, monkeypatch):
+    """A 64-bit accident is told apart by the second digest."""
+    honest = N.set_ids
+    monkeypatch.setattr(N, "set_ids", lambda s: (7, honest(s)[1]))
+    rows = [(i, f"some words of text number {i // 2} here") for i in range(8)]
+    got = N.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i // 2 * 2) for i in range(8)]
+
+
+@pytest.mark.parametrize("broadcast", [0, 1_000_000])
+def test_long_columns_by_blocks(spark, monkeypatch, broadcast):
+    """Columns of many sizes and groups that no pivot joins, with and without broadcasts; blocks of two."""
+    monkeypatch.setattr(N, "BROADCAST_IDS", broadcast)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    common = [rng.choice(words) for _ in range(12)]
+    docs = []
+    for size in (12, 14, 18, 25, 40, 60):
+        for _ in range(4):
+            base = common + [rng.choice(words) for _ in range(size - 12)]
+            for _ in range(3):
+                d = list(base)
+                if size > 20:
+                    d[rng.randrange(12, size)] = rng.choice(words)
+                docs.append(" ".join(d))
+    rows = list(enumerate(docs))
+    rng.shuffle(rows)
+    got = N.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), widest=3, block=2).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows)
+
+
+def test_long_columns_of_one_group_of_copies(spark):
+    """A group beyond COLUMN, of near copies: one component, and its exact copies with it."""
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(150):
+        d = list(base)
+        for _ in range(rng.randint(0, 2)):
+            d[rng.randrange(200)] = f"x{rng.randrange(1000)}"
+        rows.append((i, " ".join(d)))
+    got = N.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows)
+
+
+@pytest.mark.parametrize("percent", [40, 60, 95])
+def test_other_thresholds(spark, percent):
+    rows = [(i, t) for i, t in made(5) if i is not None][:60]
+    got = {r.doc_id: r.component_id for r in N.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent, widest=4, block=3).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            k = len(sets[i] & sets[j])
+            if j < i and k and 100 * k >= percent * (len(sets[i]) + len(sets[j]) - k):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    assert got == {i: root(i) for i in sets}
+
+
+def test_groups_with_clashing_columns(spark):
+    rows = [(3, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (7, "other words of this one"), (None, "a b c d e f")]
+    names = ["_row", "_key", "key", "doc", "row", "g", "gone", "kept", "comp", "n"]
+    df = spark.createDataFrame([(a, b, *range(len(names))) for a, b in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = N.one_of_each_group(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(3, "a b c d e f"), (7, "other words of this one")]
