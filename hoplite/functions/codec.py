@@ -6,6 +6,8 @@ the top bit set on all bytes but the last.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,13 +48,7 @@ def deltas(numbers: Column) -> Column:
 
 def undeltas(differences: Column) -> Column:
     """Running sums modulo 2**32."""
-    start = F.struct(F.array().cast(_LONGS).alias("out"), F.lit(0).cast("long").alias("sum"))
-
-    def step(acc, d):
-        total = F.pmod(acc["sum"] + d, F.lit(U32))
-        return F.struct(F.concat(acc["out"], F.array(total)).alias("out"), total.alias("sum"))
-
-    return F.aggregate(differences, start, step, lambda acc: acc["out"])
+    return _sums()(differences)
 
 
 def compressed_hex(numbers: Column) -> Column:
@@ -71,22 +67,54 @@ def compressed_length(numbers: Column) -> Column:
 
 def decode_varints(code: Column) -> Column:
     """All numbers of a code; bits above 32 fall away, an unfinished last number is left out."""
-    h = F.hex(code)
-    places = F.when(F.length(h) > 0, F.sequence(F.lit(1), F.length(h) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
-    numbers = F.transform(places, lambda i: F.conv(F.substring(h, i, 2), 16, 10).cast("long"))
-    start = F.struct(F.array().cast(_LONGS).alias("out"), F.lit(0).cast("long").alias("value"), F.lit(1).cast("long").alias("unit"))
+    return _numbers(False)(code)
 
-    def step(acc, b):
-        value = F.pmod(acc["value"] + b.bitwiseAND(F.lit(127)) * acc["unit"], F.lit(U32))
-        more = b >= 128
-        return F.struct(
-            F.when(more, acc["out"]).otherwise(F.concat(acc["out"], F.array(value))).alias("out"),
-            F.when(more, value).otherwise(F.lit(0).cast("long")).alias("value"),
-            F.when(more, F.least(acc["unit"] * 128, F.lit(U32))).otherwise(F.lit(1).cast("long")).alias("unit"),
-        )
 
-    return F.aggregate(numbers, start, step, lambda acc: acc["out"])
+def decompressed(code: Column) -> Column:
+    return _numbers(True)(code)
 
 
-def decompressed(code: Column) -> Column:
-    return undeltas(decode_varints(code))
+# Column expressions have no running state within an array but `aggregate`, which copies the list that it builds at every
+# element; so the inverse direction works on Arrow batches, in time linear in their bytes.
+
+
+def _lists(ends: np.ndarray, values: np.ndarray, like: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()), mask=pa.array(like.is_null()) if like.null_count else None)
+
+
+def _running(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums modulo 2**32 that start anew at each list."""
+    sums = np.r_[np.uint64(0), np.cumsum(values.astype(np.uint64), dtype=np.uint64)]
+    return ((sums[1:] - np.repeat(sums[ends[:-1]], np.diff(ends))) % U32).astype(np.int64)
+
+
+def _sums():
+    @F.arrow_udf(_LONGS)
+    def sums(column: pa.Array) -> pa.Array:
+        ends = np.r_[0, np.cumsum(column.value_lengths().fill_null(0).to_numpy())]
+        values = column.flatten().to_numpy(zero_copy_only=False) % U32
+        return _lists(ends, _running(values, ends), column)
+
+    return sums
+
+
+def decoded(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the codes that lie in ``data`` between ``ends``, and the ends of their lists."""
+    stops = np.flatnonzero(data < 128)
+    owner = np.searchsorted(ends, stops, "right") - 1
+    starts = np.maximum(np.r_[0, stops[:-1] + 1], ends[owner]) if len(stops) else stops
+    number = np.cumsum(data < 128) - (data < 128)  # the number that a byte belongs to, if it is not behind the last one
+    place = np.arange(len(data)) - np.r_[starts, len(data)][number]
+    value = np.where((place >= 0) & (place < 5), (data & 127).astype(np.int64) << (7 * np.clip(place, 0, 4)), 0)
+    values = np.add.reduceat(value, starts) % U32 if len(starts) else np.empty(0, np.int64)
+    return values, np.r_[0, np.cumsum(np.bincount(owner, minlength=len(ends) - 1))]
+
+
+def _numbers(summed: bool):
+    @F.arrow_udf(_LONGS)
+    def numbers(column: pa.Array) -> pa.Array:
+        raw = [x or b"" for x in column.to_pylist()]
+        values, ends = decoded(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])].astype(np.int64))
+        return _lists(ends, _running(values, ends) if summed else values, column)
+
+    return numbers

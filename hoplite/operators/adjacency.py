@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hoplite.functions.codec import varint_length
+from hoplite.plans.workspace import Workspace
 from hoplite.schema import U32
 
 #: Ids of a block of the two-level running sum.
@@ -44,10 +47,27 @@ def degree_lookup(probes: DataFrame, edges: DataFrame, direction: str = "out") -
     return probes.join(counts, F.col("id") == F.col("node"), "left").select(*probes.columns, F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
-def neighbour_rows(edges: DataFrame, direction: str = "out") -> DataFrame:
-    """``(node, rank, peer)``: neighbours one per row in ascending order; for lists of any length."""
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("peer")) - 1
-    return turned(edges, direction).withColumn("rank", rank)
+def _ranged(rows: DataFrame, work: Workspace) -> DataFrame:
+    """``rows`` with ``_part``, the number of the range of ``(node, peer)`` that they fall in: a hub spans as many ranges as it
+    needs. Written, as the bounds of ranges come from a sample."""
+    name = f"ranges{next(_names)}"
+    return work.put(rows.repartitionByRange("node", "peer").withColumn("_part", F.spark_partition_id()), name)
+
+
+_names = count()
+
+
+def neighbour_rows(edges: DataFrame, direction: str = "out", work: Workspace | None = None) -> DataFrame:
+    """``(node, rank, peer)``: neighbours one per row in ascending order, for lists of any length: ranks within
+    a range of a node's neighbours, moved by the node's rows in the ranges below. Equal edges are ranked within one row."""
+    work = work or Workspace(edges.sparkSession, "neighbours")
+    rows = _ranged(turned(edges, direction).groupBy("node", "peer").agg(F.count("*").alias("_n")), work)
+    inside = F.sum("_n").over(Window.partitionBy("_part", "node").orderBy("peer")) - F.col("_n")
+    sizes = rows.groupBy("_part", "node").agg(F.sum("_n").alias("_s"))
+    below = sizes.select("_part", "node", (F.sum("_s").over(Window.partitionBy("node").orderBy("_part")) - F.col("_s")).alias("_below"))
+    ranked = rows.withColumn("_i", inside).join(below, ["_part", "node"])
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
+    return ranked.select("node", (F.col("_below") + F.col("_i")).alias("_first"), "peer", every.alias("_k")).select("node", (F.col("_first") + F.col("_k")).alias("rank"), "peer")
 
 
 def neighbours(edges: DataFrame, direction: str = "out") -> DataFrame:
@@ -72,11 +92,22 @@ def running_sum(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     return blocks.withColumn("_inside", inside).join(before, "_block").withColumn(out, (F.col("_before") + F.col("_inside")).cast("long")).drop("_block", "_inside", "_before")
 
 
-def compressed_sizes(edges: DataFrame, direction: str = "out") -> DataFrame:
-    """``(node, edges, bytes)``: length of each neighbour list and of its code, from sorted rows; no list is built."""
-    before = F.lag("peer", 1, 0).over(Window.partitionBy("node").orderBy("peer"))
-    rows = turned(edges, direction).withColumn("_b", varint_length(F.pmod(F.col("peer") - before, F.lit(U32))))
-    return rows.groupBy("node").agg(F.count("*").alias("edges"), F.sum("_b").alias("bytes"))
+def compressed_sizes(edges: DataFrame, direction: str = "out", work: Workspace | None = None) -> DataFrame:
+    """``(node, edges, bytes)``: length of each neighbour list and of its code, without building a list.
+
+    Differences are taken within ranges of ``(node, peer)``; the first row of a range takes its predecessor from the ends
+    of the ranges below, one row each. An equal edge adds a difference of 0, one byte.
+    """
+    work = work or Workspace(edges.sparkSession, "sizes")
+    rows = _ranged(turned(edges, direction).groupBy("node", "peer").agg(F.count("*").alias("_n")), work)
+    order = Window.partitionBy("_part").orderBy("node", "peer")
+    ends = rows.groupBy("_part").agg(F.max(F.struct("node", "peer")).alias("_end"))
+    before_part = ends.select("_part", F.lag("_end").over(Window.orderBy("_part")).alias("_e"))
+    here = rows.withColumn("_p", F.lag(F.struct("node", "peer")).over(order)).join(F.broadcast(before_part), "_part")
+    last = F.coalesce("_p", "_e")
+    before = F.when(last["node"] == F.col("node"), last["peer"]).otherwise(0)
+    sized = here.withColumn("_b", varint_length(F.pmod(F.col("peer") - before, F.lit(U32))) + F.col("_n") - 1)
+    return sized.groupBy("node").agg(F.sum("_n").alias("edges"), F.sum("_b").alias("bytes"))
 
 
 def csr_offsets(nodes: DataFrame, edges: DataFrame, direction: str = "out") -> DataFrame:
@@ -97,5 +128,5 @@ def sorted_edges(edges: DataFrame) -> DataFrame:
 
 
 def clustered_edges(edges: DataFrame) -> DataFrame:
-    """Edges with each source's together and ordered, in partitions that need no order among each other."""
-    return edges.repartition("src").sortWithinPartitions("src", "dst")
+    """Edges in ranges of ``(src, dst)``, ordered within: a source's edges are neighbours, and a hub spans ranges."""
+    return edges.repartitionByRange("src", "dst").sortWithinPartitions("src", "dst")

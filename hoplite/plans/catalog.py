@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from hoplite.functions import codec, text
 from hoplite.operators import adjacency, dictionary, service, traversal
 from hoplite.plans.workspace import Workspace
+from hoplite.schema import NO_NODE
 from hoplite.sources import lines, relations
-from hoplite.sources.store import Graph, load_offsets
+from hoplite.sources.store import Graph, load_offsets, read_binary
 
 #: Literal lines whose acceptance is known (fixed values); the sixth is empty.
 LINES = ("a,b,c,d", "a,b,c,", "a,b,c,,", "a,b,c", "", "a,b,,d", "a,b,c,d,e,f", "a,b,c,d\r", ",,,x", "a,b,c,\r", "last,b,c,d")
+#: A header that is a proper edge too.
+HEADER = "start_id,start_label,edge_label,end_id,end_label"
 #: Edges listed out of order, for dictionaries in first-seen order (fixed values).
 LISTED = ("alice,Person,KNOWS,bob,Person", "carol,Person,LIKES,post1,Post", "post1,Post,HAS_TAG,tag_000001,Tag", "dave,Person,LIKES,dave,Person", "tag_000001,Tag,PART_OF,topic,Topic")
 #: Numbers at the borders of the codes' lengths (fixed values).
@@ -22,8 +25,16 @@ REQUEST = 'POST /q{n} HTTP/1.1\r\nHost: x\r\n\r\n{body}'
 BODIES = ('{"items":["c1"],"length":2,"labels":[]}', '{"items":["c1","c2"],"length":3,"labels":["PLACED","CONTAINS"]}', "not json")
 
 
-def _graph(spark: SparkSession, sf_dir: str, name: str) -> Graph:
-    return Graph.build(relations.edges(spark, sf_dir), Workspace(spark, name))
+_built: dict[tuple[str, str], tuple[Workspace, Graph]] = {}
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The encoded graph of a folder's tables, built once in an application, as a store that answers many queries is."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _built or not _built[key][0].alive:
+        work = Workspace(spark, "graph")
+        _built[key] = work, Graph.build(relations.edges(spark, sf_dir), work)
+    return _built[key][1]
 
 
 def _lines(spark: SparkSession, rows: tuple[str, ...]) -> DataFrame:
@@ -58,14 +69,24 @@ def node_dictionary(spark, sf_dir):
     return dictionary.node_dictionary(relations.edges(spark, sf_dir), Workspace(spark, "dictionary"))
 
 
+def edge_accept_tables(spark, sf_dir):
+    every = _table_lines(spark, sf_dir).unionByName(_lines(spark, LINES).select("value"))
+    return every.select(lines.accepted(F.col("value")).alias("accepted")).groupBy("accepted").agg(F.count("*").alias("n"))
+
+
 def string_to_id(spark, sf_dir):
-    probes = spark.createDataFrame([(x,) for x in ("c1", "n0", "o0", "p0", "r4", "s9", "zzz", "")], "str_id string")
-    return dictionary.string_to_id(probes, node_dictionary(spark, sf_dir))
+    """Every node, and text that is none."""
+    misses = spark.createDataFrame([("zzz",), ("",)], "str_id string")
+    return dictionary.string_to_id(dictionary.endpoints_of(relations.edges(spark, sf_dir)).unionByName(misses), _graph(spark, sf_dir).nodes)
+
+
+def _all_ids(spark, sf_dir) -> DataFrame:
+    """Every node's id, and ids out of range."""
+    return _graph(spark, sf_dir).nodes.select("id").unionByName(spark.createDataFrame([(NO_NODE,), (-1,)], "id long"))
 
 
 def id_to_string(spark, sf_dir):
-    probes = spark.createDataFrame([(x,) for x in (0, 1, 150, 1000, 4294967295, -1)], "id long")
-    return dictionary.id_to_string(probes, node_dictionary(spark, sf_dir))
+    return dictionary.id_to_string(_all_ids(spark, sf_dir), _graph(spark, sf_dir).nodes)
 
 
 def label_dictionary(spark, sf_dir):
@@ -77,52 +98,50 @@ def relation_dictionary(spark, sf_dir):
 
 
 def encoded_edges(spark, sf_dir):
-    return _graph(spark, sf_dir, "encoded").edges
+    return _graph(spark, sf_dir).edges
 
 
 def sorted_edges(spark, sf_dir):
-    return adjacency.sorted_edges(_graph(spark, sf_dir, "sorted").edges)
+    return adjacency.sorted_edges(_graph(spark, sf_dir).edges)
 
 
 def _degrees(direction):
     def query(spark, sf_dir):
-        g = _graph(spark, sf_dir, "degrees")
+        g = _graph(spark, sf_dir)
         return adjacency.degrees(g.nodes, g.edges, direction)
 
     return query
 
 
 def degree_lookup(spark, sf_dir):
-    g = _graph(spark, sf_dir, "lookup")
-    probes = spark.createDataFrame([(x,) for x in (0, 1, 150, 1000, 4294967295, -1)], "id long")
-    both = adjacency.degree_lookup(probes, g.edges, "out").withColumnRenamed("degree", "out_degree")
+    g = _graph(spark, sf_dir)
+    both = adjacency.degree_lookup(_all_ids(spark, sf_dir), g.edges, "out").withColumnRenamed("degree", "out_degree")
     return adjacency.degree_lookup(both, g.edges, "in").withColumnRenamed("degree", "in_degree")
 
 
 def _neighbours(direction):
     def query(spark, sf_dir):
-        g = _graph(spark, sf_dir, "neighbours")
+        g = _graph(spark, sf_dir)
         return adjacency.neighbours(g.edges, direction).select("node", F.array_join("list", ",").alias("neighbours"))
 
     return query
 
 
 def neighbour_lookup(spark, sf_dir):
-    g = _graph(spark, sf_dir, "neighbour")
-    probes = spark.createDataFrame([(x,) for x in (0, 1, 150, 1000, 4294967295, -1)], "id long")
-    return adjacency.neighbour_lookup(probes, g.edges).select("id", F.array_join("list", ",").alias("neighbours"))
+    g = _graph(spark, sf_dir)
+    return adjacency.neighbour_lookup(_all_ids(spark, sf_dir), g.edges).select("id", F.array_join("list", ",").alias("neighbours"))
 
 
 def _offsets(direction):
     def query(spark, sf_dir):
-        g = _graph(spark, sf_dir, "offsets")
+        g = _graph(spark, sf_dir)
         return adjacency.csr_offsets(g.nodes, g.edges, direction)
 
     return query
 
 
 def neighbor_deltas(spark, sf_dir):
-    g = _graph(spark, sf_dir, "deltas")
+    g = _graph(spark, sf_dir)
     return adjacency.neighbours(g.edges).select("node", F.array_join(codec.deltas(F.col("list")), ",").alias("deltas"))
 
 
@@ -132,13 +151,13 @@ def varint_hex(spark, sf_dir):
 
 
 def varint_roundtrip(spark, sf_dir):
-    g = _graph(spark, sf_dir, "roundtrip")
+    g = _graph(spark, sf_dir)
     lists = adjacency.neighbours(g.edges)
     return lists.select("node", F.array_join(codec.decompressed(codec.compressed(F.col("list"))), ",").alias("neighbours"))
 
 
 def compressed_size(spark, sf_dir):
-    g = _graph(spark, sf_dir, "size")
+    g = _graph(spark, sf_dir)
     size = lambda d: adjacency.compressed_sizes(g.edges, d).agg(F.sum("bytes").alias("bytes")).select(F.lit(d).alias("direction"), "bytes")
     return size("out").unionByName(size("in"))
 
@@ -159,7 +178,7 @@ def _khop(seeds, length, labels=(), direction="out", mode=None, end_labels=()):
 
 def khop_bitmap(spark, sf_dir):
     edges = relations.edges(spark, sf_dir)
-    nodes = node_dictionary(spark, sf_dir)
+    nodes = _graph(spark, sf_dir).nodes
     layers = traversal.khop_layers(edges, traversal.KHopQuery(("c1",), 5).frame(spark))
     return traversal.bitmap_count(layers.join(nodes, layers.node == nodes.str_id).select("id"))
 
@@ -202,16 +221,96 @@ def radix_text(spark, sf_dir):
 
 def store_roundtrip(spark, sf_dir):
     path = Workspace(spark, "store").path("graph")
-    _graph(spark, sf_dir, "stored").save(path)
+    _graph(spark, sf_dir).save(path)
     g = Graph.load(spark, path)
     last = load_offsets(spark, path).agg(F.max("edge_offset")).first()[0]
     return spark.createDataFrame([(g.node_count(), g.edge_count(), last)], "nodes long, edges long, last_offset long")
 
 
+def _numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.edges(spark, sf_dir, numbered=True)
+
+
+def label_dictionary_tables(spark, sf_dir):
+    return dictionary.label_dictionary(_numbered_lines(spark, sf_dir))
+
+
+def relation_dictionary_tables(spark, sf_dir):
+    return dictionary.relation_dictionary(_numbered_lines(spark, sf_dir))
+
+
+def _written(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """The tables' lines as text files, each beginning with the same line as one that follows it, among lines that don't count."""
+    path = Workspace(spark, name).path("lines")
+    _table_lines(spark, sf_dir).unionByName(spark.createDataFrame([(x,) for x in LINES], "value string")).write.option("lineSep", "\n").text(path)
+    return path
+
+
+def edge_scan(spark, sf_dir):
+    return lines.read_edges(spark, _written(spark, sf_dir, "scan"))
+
+
+def edge_scan_header(spark, sf_dir):
+    """One file whose header is equal to two data lines, of which both count."""
+    path = Workspace(spark, "header").path("lines")
+    spark.createDataFrame([(HEADER,)], "value string").coalesce(1).write.option("lineSep", "\n").text(f"{path}/part=0")
+    spark.createDataFrame([(HEADER,), *((x,) for x in LINES), (HEADER,), (HEADER,)], "value string").coalesce(1).write.option("lineSep", "\n").text(f"{path}/part=1")
+    return lines.parsed(lines.read_lines(spark, path, header=True)).groupBy("start_id", "end_id").agg(F.count("*").alias("n"))
+
+
+def binary_read(spark, sf_dir):
+    """Bytes and line ends of the written lines, from whole files."""
+    content = F.col("content")
+    files = read_binary(spark, _written(spark, sf_dir, "binary") + "/*.txt")
+    ends = F.length(content) - F.octet_length(F.translate(F.decode(content, "UTF-8"), "\n", ""))
+    return files.agg(F.sum(F.length(content)).cast("long").alias("bytes"), F.sum(ends).cast("long").alias("line_ends"))
+
+
+def store_contents(spark, sf_dir):
+    """Every row of a saved and loaded graph: nodes, edges with their number, and both offsets."""
+    path = Workspace(spark, "contents").path("graph")
+    _graph(spark, sf_dir).save(path)
+    g = Graph.load(spark, path)
+    rows = lambda df, part, a, b, c: df.select(F.lit(part).alias("part"), F.col(a).cast("long").alias("a"), F.col(b).cast("string").alias("b"), F.col(c).cast("long").alias("c"))
+    edges = g.edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    out = rows(g.nodes.withColumn("c", F.lit(0)), "node", "id", "str_id", "c").unionByName(rows(edges, "edge", "src", "dst", "n"))
+    for direction in ("out", "in"):
+        out = out.unionByName(rows(load_offsets(spark, path, direction), direction, "node_id", "edge_offset", "byte_offset"))
+    return out
+
+
+def _compressed(direction):
+    def query(spark, sf_dir):
+        g = _graph(spark, sf_dir)
+        return adjacency.neighbours(g.edges, direction).select("node", codec.compressed_hex(F.col("list")).alias("code"))
+
+    return query
+
+
+def neighbor_rows(spark, sf_dir):
+    return adjacency.neighbour_rows(_graph(spark, sf_dir).edges).select("node", F.col("rank").cast("long").alias("rank"), "peer")
+
+
+def radix_text_negative(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select((-F.col("o_orderkey") * 1000003 - 1).alias("x"))
+    return rows.select("x", *[text.radix_text(F.col("x"), r).alias(f"r{r}") for r in (7, 10, 16, 36)])
+
+
 QUERIES = {
+    "edge_scan": edge_scan,
+    "edge_scan_header": edge_scan_header,
+    "binary_read": binary_read,
+    "label_dictionary_tables": label_dictionary_tables,
+    "relation_dictionary_tables": relation_dictionary_tables,
+    "store_contents": store_contents,
+    "compressed_lists_fwd": _compressed("out"),
+    "compressed_lists_bwd": _compressed("in"),
+    "neighbor_rows": neighbor_rows,
+    "radix_text_negative": radix_text_negative,
     "edge_parse": edge_parse,
     "edge_parse_fields_2_3": edge_parse_fields_2_3,
     "edge_accept_counts": edge_accept_counts,
+    "edge_accept_tables": edge_accept_tables,
     "node_count": node_count,
     "edge_count": edge_count,
     "node_dictionary": node_dictionary,
@@ -254,6 +353,8 @@ QUERIES = {
 # ---- the same queries as SQL ----
 
 _EDGES = f"edges AS ({relations.edges_sql()})"
+_PARSE = "f[1] AS start_id, f[2] AS start_label, f[3] AS edge_label, f[4] AS end_id, f[5] AS end_label"
+_ACCEPT = "(len(f) > 4 OR (len(f) = 4 AND f[4] <> ''))"
 _NODES = f"{_EDGES}, nodes AS (SELECT CAST(row_number() OVER (ORDER BY str_id) - 1 AS BIGINT) AS id, str_id FROM (SELECT start_id AS str_id FROM edges UNION SELECT end_id FROM edges))"
 _ENCODED = f"{_NODES}, enc AS (SELECT a.id AS src, b.id AS dst FROM edges e JOIN nodes a ON e.start_id = a.str_id JOIN nodes b ON e.end_id = b.str_id)"
 
@@ -323,7 +424,7 @@ SELECT hop, new_nodes, CAST(sum(new_nodes) OVER (ORDER BY hop) AS BIGINT) AS wit
 _REQUESTS = _values([(i, REQUEST.format(n=i, body=b)) for i, b in enumerate(BODIES)] + [(90, "GET"), (91, ""), (92, None)], "req, raw")
 _PARSED = f"""p AS (SELECT CAST(req AS BIGINT) AS req, CASE WHEN strpos(substr(raw, 6), ' ') > 0 THEN split_part(substr(raw, 6), ' ', 1) END AS path,
 CASE WHEN strpos(raw, concat(chr(13), chr(10), chr(13), chr(10))) > 0 THEN substr(raw, strpos(raw, concat(chr(13), chr(10), chr(13), chr(10)))) END AS body FROM {_REQUESTS})"""
-_IDS = _values([(x,) for x in (0, 1, 150, 1000, 4294967295, -1)], "id")
+_IDS = "ids AS (SELECT id FROM nodes UNION ALL SELECT 4294967295 UNION ALL SELECT -1)"
 _HEAD = _q(service.HEAD)
 
 _VARINT = "printf('%02X', {x} >> {s} & 127)"
@@ -338,25 +439,55 @@ def _varint_sql(x: str) -> str:
     return f"CASE {' '.join(parts)} END"
 
 
+_WRITTEN = f"written AS (SELECT concat_ws(',', start_id, start_label, edge_label, end_id, end_label) AS value FROM edges UNION ALL SELECT line FROM {_values(list(enumerate(LINES)), 'line_no, line')})"
+
+
+def _compressed_sql(direction: str) -> str:
+    return f"WITH {_ENCODED}, {_deltas_sql(direction)} SELECT node, string_agg({_varint_sql('d')}, '' ORDER BY peer, d DESC) AS code FROM deltas_{direction} GROUP BY node"
+
+
+def _unsigned_sql(radix: int, low: int) -> str:
+    """Digits of a negative number's unsigned view, in two halves that to_base can take."""
+    u, unit = "(CAST(x AS HUGEINT) + 18446744073709551616)", radix**low
+    return f"to_base(CAST({u} // {unit} AS BIGINT), {radix}) || to_base(CAST({u} % {unit} AS BIGINT), {radix}, {low})"
+
+
+def _contents_sql() -> str:
+    part = lambda d: f"SELECT '{d}', node_id, CAST(edge_offset AS VARCHAR), byte_offset FROM ({_offsets_sql(d)})"
+    return f"""SELECT 'node' AS part, id AS a, str_id AS b, CAST(0 AS BIGINT) AS c FROM (WITH {_NODES} SELECT * FROM nodes) UNION ALL
+SELECT 'edge', src, CAST(dst AS VARCHAR), n FROM (WITH {_ENCODED} SELECT src, dst, count(*) AS n FROM enc GROUP BY ALL) UNION ALL {part('out')} UNION ALL {part('in')}"""
+
+
 ORACLES = {
+    "edge_scan": f"WITH {_EDGES}, {_WRITTEN}, f AS (SELECT string_split(value, ',') AS f FROM written) SELECT {_PARSE} FROM f WHERE {_ACCEPT}",
+    "edge_scan_header": f"WITH f AS (SELECT string_split(line, ',') AS f FROM {_values([(x,) for x in LINES], 'line')}) SELECT f[1] AS start_id, f[4] AS end_id, count(*) AS n FROM f WHERE {_ACCEPT} GROUP BY ALL UNION ALL SELECT 'start_id', 'end_id', 2",
+    "binary_read": f"WITH {_EDGES}, {_WRITTEN} SELECT CAST(sum(octet_length(encode(value)) + 1) AS BIGINT) AS bytes, count(*) AS line_ends FROM written",
+    "label_dictionary_tables": f"WITH {_EDGES} SELECT CAST(row_number() OVER (ORDER BY min(k)) - 1 AS BIGINT) AS label_id, label FROM (SELECT 2 * line_no AS k, start_label AS label FROM edges UNION ALL SELECT 2 * line_no + 1, end_label FROM edges) GROUP BY label",
+    "relation_dictionary_tables": f"WITH {_EDGES} SELECT CAST(row_number() OVER (ORDER BY min(line_no)) - 1 AS BIGINT) AS relation_id, edge_label AS relation FROM edges GROUP BY edge_label",
+    "store_contents": _contents_sql(),
+    "compressed_lists_fwd": _compressed_sql("out"),
+    "compressed_lists_bwd": _compressed_sql("in"),
+    "neighbor_rows": f"WITH {_ENCODED} SELECT src AS node, CAST(row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS BIGINT) AS rank, dst AS peer FROM enc",
+    "radix_text_negative": f"SELECT x, {_unsigned_sql(7, 10)} AS r7, CAST(x AS VARCHAR) AS r10, {_unsigned_sql(16, 8)} AS r16, {_unsigned_sql(36, 5)} AS r36 FROM (SELECT -o_orderkey * 1000003 - 1 AS x FROM orders)",
     "edge_parse": f"WITH {_EDGES}, f AS (SELECT string_split(concat_ws(',', start_id, start_label, edge_label, end_id, end_label), ',') AS f FROM edges) SELECT f[1] AS start_id, f[2] AS start_label, f[3] AS edge_label, f[4] AS end_id, f[5] AS end_label FROM f WHERE len(f) > 4 OR (len(f) = 4 AND f[4] <> '')",
     "edge_parse_fields_2_3": f"WITH {_EDGES} SELECT edge_label AS src_str, end_id AS dst_str, count(*) AS n FROM edges GROUP BY ALL",
     "edge_accept_counts": f"SELECT CAST(line_no AS BIGINT) AS line_no, len(string_split(line, ',')) > 4 OR (len(string_split(line, ',')) = 4 AND string_split(line, ',')[4] <> '') AS accepted FROM {_values(list(enumerate(LINES)), 'line_no, line')}",
     "node_count": f"WITH {_EDGES} SELECT count(*) AS node_count FROM (SELECT start_id FROM edges UNION SELECT end_id FROM edges)",
     "edge_count": f"WITH {_EDGES} SELECT count(*) AS edge_count FROM edges",
     "node_dictionary": f"WITH {_NODES} SELECT id, str_id FROM nodes",
-    "string_to_id": f"WITH {_NODES} SELECT p.str_id, coalesce(n.id, 4294967295) AS id FROM {_values([(x,) for x in ('c1', 'n0', 'o0', 'p0', 'r4', 's9', 'zzz', '')], 'str_id').replace(' AS t(', ' AS p(')} LEFT JOIN nodes n ON n.str_id = p.str_id",
-    "id_to_string": f"WITH {_NODES} SELECT CAST(p.id AS BIGINT) AS id, coalesce(n.str_id, '') AS str_id FROM {_IDS.replace(' AS t(', ' AS p(')} LEFT JOIN nodes n ON n.id = p.id",
+    "edge_accept_tables": f"WITH {_EDGES}, {_WRITTEN}, f AS (SELECT string_split(value, ',') AS f FROM written) SELECT {_ACCEPT} AS accepted, count(*) AS n FROM f GROUP BY 1",
+    "string_to_id": f"WITH {_NODES} SELECT str_id, id FROM nodes UNION ALL SELECT 'zzz', 4294967295 UNION ALL SELECT '', 4294967295",
+    "id_to_string": f"WITH {_NODES} SELECT id, str_id FROM nodes UNION ALL SELECT 4294967295, '' UNION ALL SELECT -1, ''",
     "label_dictionary": f"SELECT CAST(row_number() OVER (ORDER BY min(k)) - 1 AS BIGINT) AS label_id, label FROM (SELECT 2 * line_no AS k, string_split(line, ',')[2] AS label FROM {_values(list(enumerate(LISTED)), 'line_no, line')} UNION ALL SELECT 2 * line_no + 1, string_split(line, ',')[5] FROM {_values(list(enumerate(LISTED)), 'line_no, line')}) GROUP BY label",
     "relation_dictionary": f"SELECT CAST(row_number() OVER (ORDER BY min(line_no)) - 1 AS BIGINT) AS relation_id, string_split(line, ',')[3] AS relation FROM {_values(list(enumerate(LISTED)), 'line_no, line')} GROUP BY relation",
     "encoded_edges": f"WITH {_ENCODED} SELECT src, dst FROM enc",
     "sorted_edges": f"WITH {_ENCODED} SELECT src, dst FROM enc ORDER BY src, dst",
     "out_degree": _degree_sql("out"),
     "in_degree": _degree_sql("in"),
-    "degree_lookup": f"WITH {_ENCODED} SELECT CAST(p.id AS BIGINT) AS id, (SELECT count(*) FROM enc WHERE src = p.id) AS out_degree, (SELECT count(*) FROM enc WHERE dst = p.id) AS in_degree FROM {_IDS.replace(' AS t(', ' AS p(')}",
+    "degree_lookup": f"WITH {_ENCODED}, {_IDS}, o AS (SELECT src, count(*) AS n FROM enc GROUP BY src), i AS (SELECT dst, count(*) AS n FROM enc GROUP BY dst) SELECT p.id, coalesce(o.n, 0) AS out_degree, coalesce(i.n, 0) AS in_degree FROM ids p LEFT JOIN o ON o.src = p.id LEFT JOIN i ON i.dst = p.id",
     "out_neighbors": _lists_sql("out"),
     "in_neighbors": _lists_sql("in"),
-    "neighbor_lookup": f"WITH {_ENCODED} SELECT CAST(p.id AS BIGINT) AS id, coalesce(string_agg(CAST(e.dst AS VARCHAR), ',' ORDER BY e.dst), '') AS neighbours FROM {_IDS.replace(' AS t(', ' AS p(')} LEFT JOIN enc e ON e.src = p.id GROUP BY p.id",
+    "neighbor_lookup": f"WITH {_ENCODED}, {_IDS} SELECT p.id, coalesce(string_agg(CAST(e.dst AS VARCHAR), ',' ORDER BY e.dst), '') AS neighbours FROM ids p LEFT JOIN enc e ON e.src = p.id GROUP BY p.id",
     "csr_offsets_fwd": _offsets_sql("out"),
     "csr_offsets_bwd": _offsets_sql("in"),
     "neighbor_deltas": f"WITH {_ENCODED}, {_deltas_sql('out')} SELECT node, string_agg(CAST(d AS VARCHAR), ',' ORDER BY peer, d DESC) AS deltas FROM deltas_out GROUP BY node",

@@ -37,13 +37,16 @@ def endpoints(lines: DataFrame, src_field: int = 0, dst_field: int = 3, line: st
 
 
 def read_lines(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
-    """``value`` of each line. With ``header`` lines equal to the first are left out."""
+    """``value`` of each line. With ``header`` the first line of each file is left out, and no other like it.
+
+    A file's first line is the row of the least number among those of its split at byte 0; one row per file meets the scan again.
+    """
     lines = spark.read.option("lineSep", "\n").text(path)
-    if header:
-        first = lines.first()
-        if first is not None:
-            lines = lines.where(~F.col("value").eqNullSafe(F.lit(first.value)))
-    return lines
+    if not header:
+        return lines
+    numbered = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_row"))
+    firsts = numbered.where("_at = 0").groupBy("_file").agg(F.min("_row").alias("_row"))
+    return numbered.join(firsts, ["_file", "_row"], "left_anti").select("value")
 
 
 def read_edges(spark: SparkSession, path: str, header: bool = False) -> DataFrame:

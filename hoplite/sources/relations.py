@@ -20,20 +20,24 @@ RELATIONS = (
 )
 
 
-def edges(spark: SparkSession, sf_dir: str, labels: tuple[str, ...] | None = None) -> DataFrame:
-    """Edges of the six relations, or of those with the given edge labels; only the key columns are read."""
+#: Line numbers of a relation start at a multiple of this; within it the start key is the number.
+LINES_OF_RELATION = 10**12
+
+
+def edges(spark: SparkSession, sf_dir: str, labels: tuple[str, ...] | None = None, numbered: bool = False) -> DataFrame:
+    """Edges of the six relations, or of those with the given edge labels; only the key columns are read. ``numbered`` adds ``line_no``."""
     parts = []
-    for label, name, sp, sk, sl, ep, ek, el in RELATIONS:
+    for i, (label, name, sp, sk, sl, ep, ek, el) in enumerate(RELATIONS):
         if labels is None or label in labels:
             t = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-            parts.append(t.select(F.concat(F.lit(sp), F.col(sk).cast("string")).alias("start_id"), F.lit(sl).alias("start_label"), F.lit(label).alias("edge_label"), F.concat(F.lit(ep), F.col(ek).cast("string")).alias("end_id"), F.lit(el).alias("end_label")))
+            parts.append(t.select(F.concat(F.lit(sp), F.col(sk).cast("string")).alias("start_id"), F.lit(sl).alias("start_label"), F.lit(label).alias("edge_label"), F.concat(F.lit(ep), F.col(ek).cast("string")).alias("end_id"), F.lit(el).alias("end_label"), *[(F.col(sk).cast("long") + i * LINES_OF_RELATION).alias("line_no")] * numbered))
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], EDGE)
 
 
 def edges_sql(labels: tuple[str, ...] | None = None) -> str:
-    """The same edges as SQL."""
+    """The same edges as SQL, always numbered."""
     return " UNION ALL ".join(
-        f"SELECT '{sp}' || {sk} AS start_id, '{sl}' AS start_label, '{label}' AS edge_label, '{ep}' || {ek} AS end_id, '{el}' AS end_label FROM {name}"
-        for label, name, sp, sk, sl, ep, ek, el in RELATIONS
+        f"SELECT '{sp}' || {sk} AS start_id, '{sl}' AS start_label, '{label}' AS edge_label, '{ep}' || {ek} AS end_id, '{el}' AS end_label, CAST({sk} + {i * LINES_OF_RELATION} AS BIGINT) AS line_no FROM {name}"
+        for i, (label, name, sp, sk, sl, ep, ek, el) in enumerate(RELATIONS)
         if labels is None or label in labels
     )

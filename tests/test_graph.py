@@ -157,3 +157,87 @@ def test_read_binary(spark, tmp_path):
     assert bytes(read_binary(spark, str(tmp_path / "x.bin")).first().content) == b"\x00\x01"
     with pytest.raises(Exception):
         read_binary(spark, str(tmp_path / "absent")).collect()
+
+
+def test_decoding_is_linear_in_a_hub(spark):
+    import time
+
+    n = 1_000_000
+    hub = spark.range(1).select(F.sequence(F.lit(0), F.lit(7 * (n - 1)), F.lit(7)).cast("array<bigint>").alias("list"))
+    began = time.perf_counter()
+    got = hub.select(codec.decompressed(codec.compressed(F.col("list"))).alias("back"), "list").select((F.col("back") == F.col("list")).alias("same"), F.size("back").alias("n")).first()
+    assert got.same and got.n == n and time.perf_counter() - began < 30
+
+
+def test_codes_in_one_batch(spark):
+    """Unfinished ends, long codes, empty and null codes beside each other."""
+    cases = [("AC02", [300]), ("", []), ("80", []), ("0180", [1]), ("8080808080800103", [0, 3]), (None, None), ("FFFFFFFF0F7F", [4294967295, 127]), ("FF", []), ("05", [5])]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i int, h string").coalesce(1)
+    got = {r.i: r.v for r in df.select("i", codec.decode_varints(F.unhex("h")).alias("v")).collect()}
+    assert got == {i: v for i, (_, v) in enumerate(cases)}
+    sums = spark.createDataFrame([([5, 3, 0, 4294967295],), ([],), (None,), ([1, 1],)], "d array<bigint>").coalesce(1)
+    assert [r.s for r in sums.select(codec.undeltas(F.col("d")).alias("s")).collect()] == [[5, 8, 8, 7], [], None, [1, 2]]
+
+
+def test_hub_over_many_ranges(spark):
+    """A hub's list, with repeated edges, crosses ranges."""
+    pairs = [(0, p) for p in range(4000)] + [(0, 17)] * 500 + [(1, 3), (2, 1), (2, 1)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    sizes = {r.node: (r.edges, r.bytes) for r in adjacency.compressed_sizes(edges).collect()}
+    assert sizes == {0: (4500, 4500), 1: (1, 1), 2: (2, 2)}
+    got = [(r.node, r["rank"], r.peer) for r in adjacency.neighbour_rows(edges).collect()]
+    expected = [(n, i, p) for n in range(3) for i, p in enumerate(sorted(p for m, p in pairs if m == n))]
+    assert sorted(got) == expected
+
+
+def test_header_is_one_line_a_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("s,x,y,t,z\n1,a,b,2,c\ns,x,y,t,z\n")
+    (tmp_path / "b.csv").write_text("s,x,y,t,z\n")
+    (tmp_path / "c.csv").write_text("")
+    assert sorted(r.value for r in lines.read_lines(spark, str(tmp_path), header=True).collect()) == ["1,a,b,2,c", "s,x,y,t,z"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from hoplite import __main__ as cli
+
+    (tmp_path / "e.csv").write_text("head\n" + HAND)
+    g = cli.build(spark, str(tmp_path / "e.csv"), str(tmp_path / "g"), header=True)
+    assert (g.node_count(), g.edge_count()) == (6, 8)
+    assert cli.lookup(spark, str(tmp_path / "g"), ["alice", "zzz"]) == [{"node": "alice", "id": 0, "out": [1, 1, 2], "in": [2]}, {"node": "zzz", "id": 4294967295, "out": [], "in": []}]
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "1").write_text('POST /q HTTP/1.1\r\n\r\n{"items":["alice"],"length":4,"labels":[]}', newline="")
+    (tmp_path / "r" / "2").write_text("nothing")
+    got = cli.answers(spark, str(tmp_path / "e.csv"), str(tmp_path / "r")).collect()
+    assert [(r.path, r["count"]) for r in got] == [("/q", 4), (None, 0)]
+    with pytest.raises(SystemExit):
+        cli.main(["walk"])
+    assert json.loads('{"port": 8080}')["port"] == cli._arguments(["serve", "x"]).port
+
+
+def test_server(spark, edges):
+    import socket
+    import threading
+
+    from hoplite.streaming.server import RequestServer
+
+    body = '{"items":["alice"],"length":1,"labels":[]}'
+    with RequestServer(edges, 0, "127.0.0.1") as server:
+        for raw, count in ((f"POST /q HTTP/1.1\r\nContent-Length: {len(body)}\r\n\r\n{body}", 2), ("GET / HTTP/1.1\r\n\r\n", 0)):
+            worker = threading.Thread(target=server.serve_one)
+            worker.start()
+            with socket.create_connection(("127.0.0.1", server.port)) as c:
+                c.sendall(raw.encode())
+                got = b"".join(iter(lambda: c.recv(4096), b""))
+            worker.join()
+            assert got.decode().endswith('\r\n\r\n{"count":%d}' % count)
+
+
+def test_release(spark):
+    from hoplite.plans import workspace
+
+    work = Workspace(spark, "gone")
+    df = work.put(spark.range(3), "t")
+    assert df.count() == 3 and workspace.release(spark) > 0
+    assert not spark._jvm.java.io.File(work.root.removeprefix("file://")).exists()
