@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from hoplite.llm import decontaminate, ngram_join, quality, sentencepiece_codec, toxicity
 from hoplite.llm.common import table
-from hoplite.plans.workspace import Workspace
+from hoplite.plans.workspace import Workspace, scope
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +62,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     work = Workspace(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
-        docs = work.put(stage(spark, docs, sf_dir), f"stage{i}")
+        with scope(spark):  # a stage's own tables go once its result is written
+            docs = work.put(stage(spark, docs, sf_dir), f"stage{i}")
         if i:
             work.drop(f"stage{i - 1}")
     return docs
