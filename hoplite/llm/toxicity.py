@@ -5,7 +5,8 @@ fixed seed lexicon, some for patterns of writing, and the annotators, who vote o
 have judged. A voter fires or abstains. A generative model of the votes is fitted by expectation maximisation to judged and
 unjudged documents alike: how often each voter fires under either class, how often the annotators say the class,
 and how voters correlate within a class; correlated voters share their say. Its posteriors, not the labels, train a logistic
-classifier on the (log) counts of the voters and of the lexicon voters together, which scores every text.
+classifier on the (log) counts of the voters and of the lexicon voters together, which scores every text. It learns from the
+judged documents: of the others, the model's rates and correlations profit.
 
 The samples have about ``SAMPLE`` labelled and ``UNLABELLED`` other documents of up to ``SAMPLE_BYTES`` each, one text an id; texts above
 ``TRAIN_TEXT`` characters are represented by windows of them.
@@ -140,8 +141,8 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 15) -> np.n
         if step % 5 == 0:
             spread = np.zeros((votes.shape[1],) * 2)
             for w, t in ((p, t1), (1 - p, t0)):
-                c = votes - t
-                spread += (c * w[:, None]).T @ c / (w1 + w0)
+                # the weighted scatter around the rates, without a second copy of the votes
+                spread += ((votes * w[:, None].astype(votes.dtype)).T @ votes - w.sum() * np.outer(t, t) - np.outer(w @ votes - w.sum() * t, t) - np.outer(t, w @ votes - w.sum() * t)) / (w1 + w0)
             dev = np.sqrt(np.maximum(np.diag(spread), 1e-9))
             r = np.clip(spread / dev[:, None] / dev[None, :], 0, 1)
             np.fill_diagonal(r, 0)
@@ -158,14 +159,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.2, steps: int = 25)
 
     The last column, the words that any lexicon voter knows, is hardly held back: what a voter alone adds must show in many texts.
     """
-    x = np.c_[x, np.ones(len(x))]
+    x = np.c_[x, np.ones(len(x), x.dtype)]
     w = np.zeros(x.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[-2:] = 1e-2, 1e-3
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (p - y) + penalty * w
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty)
+        h = (x * (p * (1 - p) + 1e-6)[:, None].astype(x.dtype)).T @ x + np.diag(penalty)
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -200,13 +201,15 @@ def train(sample: list[tuple[bytes, int]], unlabelled: list[bytes] = ()) -> Mode
         weights[voters.count - 1 - len(PATTERNS)], weights[-1] = 3.0, -2.0
         return Model(voters, weights)
     rows = [*sample, *((t, -1) for t in unlabelled)]
-    fired = np.zeros((len(rows), voters.count + 1))
+    fired = np.zeros((len(rows), voters.count + 1), np.float32)
     for i, (text, _) in enumerate(rows):
         for v, k in voters.fire(text).items():
             fired[i, v] = k
-    posterior = label_model((fired[:, :-1] > 0).astype(float), np.array([y for _, y in rows]))
-    weights = logistic(np.log1p(fired), posterior)
-    weights[-1] -= best_cut(np.log1p(fired) @ weights[:-1] + weights[-1], posterior >= 0.5)
+    labels = np.array([y for _, y in rows])
+    posterior = label_model((fired[:, :-1] > 0).astype(np.float32), labels)
+    fired, judged = np.log1p(fired[: len(sample)]), posterior[: len(sample)]
+    weights = logistic(fired, judged)
+    weights[-1] -= best_cut(fired @ weights[:-1] + weights[-1], judged >= 0.5)
     return Model(voters, weights)
 
 
