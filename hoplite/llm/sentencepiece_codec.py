@@ -47,7 +47,7 @@ GIANT, CHUNK = 1 << 16, 1 << 15
 #: Matrices that one group combines.
 FAN = 64
 #: Units whose segmentation, and pairs of pieces whose compatibility, a worker remembers.
-CACHE, PAIRS = 800_000, 1_500_000
+CACHE, PAIRS = 400_000, 400_000
 BLANK = "▁"
 NEVER = -np.inf
 
@@ -469,7 +469,11 @@ def border_states(matrices: DataFrame, work: Workspace, fan: int = FAN, level: i
     group = F.floor(F.col("part") / fan).cast("int")
     most = matrices.agg(F.max("part")).first()[0]
     if most == 0:  # one matrix a text, from the only state at its beginning to the one that ends with the text
-        last = F.udf(lambda raw, rows: int(np.argmax(_read_matrix(bytes(raw), rows)[0])), "int")
+
+        @F.arrow_udf("int")
+        def last(raw: pa.Array, rows: pa.Array) -> pa.Array:
+            return pa.array([int(np.argmax(_read_matrix(m, n)[0])) for m, n in zip(raw.to_pylist(), rows.to_pylist(), strict=True)], pa.int32())
+
         return matrices.select("row", "part", F.lit(0).alias("i"), last("m", "rows").alias("j"))
     above = work.put(matrices.withColumn("part0", group).groupBy("row", "part0").applyInPandas(_products, _MATRIX), f"level{level}")
     ends = border_states(above, work, fan, level + 1).withColumnRenamed("part", "part0")
