@@ -56,7 +56,7 @@ BROADCAST_IDS = 1_000_000
 #: Parts of a long column where what it has once can't be broadcast.
 PARTS = 64
 #: Partners that one task verifies against a document.
-PARTNERS = 256
+PARTNERS = 64
 #: Shingles in a window.
 SIZE = 5
 
@@ -366,18 +366,21 @@ def _sides(key, frame):
 
 
 def _possible(key, frame, percent: int):
-    """``(row of the left block, its label, labels of right rows that it may link to, bounds of their overlaps)`` by sketches; only other components."""
+    """For groups of rows of both blocks: their labels, which two may link by their sketches (in different components only), and how many bits
+    the two sketches have apart."""
     left, right = _sides(key, frame)
     for la, a in left.groupby(left.sketch.map(len)):
         for lb, b in right.groupby(right.sketch.map(len)):
-            fa, fb = folded(list(a.sketch), min(la, lb) // 8), folded(list(b.sketch), min(la, lb) // 8)
-            nb, cb = b.n.to_numpy(), b.comp.to_numpy()
-            for i in range(len(a)):
-                n, c = a.n.iat[i], a.comp.iat[i]
-                maybe = np.flatnonzero((cb != c) & _close(n, nb, percent))
-                maybe = maybe[can_link(n, nb[maybe], fa[i], fb[maybe], percent)]
-                if len(maybe):
-                    yield a.index[i], b.index[maybe], np.bitwise_count(fa[i] ^ fb[maybe]).sum(axis=-1, dtype=np.int64)
+            words = min(la, lb) // 8
+            fa, fb = folded(list(a.sketch), words), folded(list(b.sketch), words)
+            na, nb, ca, cb = (x.to_numpy() for x in (a.n, b.n, a.comp, b.comp))
+            step = max(1, (1 << 21) // (len(b) * words))  # bounds the bits held at once
+            for lo in range(0, len(a), step):
+                rows = slice(lo, lo + step)
+                maybe = can_link(na[rows, None], nb[None], fa[rows, None], fb[None], percent)
+                maybe &= _close(na[rows, None], nb[None], percent) & (ca[rows, None] != cb[None])
+                if maybe.any():
+                    yield a.index[rows].to_numpy(), b.index.to_numpy(), maybe, np.bitwise_count(fa[rows, None] ^ fb[None]).sum(axis=-1, dtype=np.int64)
 
 
 def _block_filter(percent: int):
@@ -385,12 +388,15 @@ def _block_filter(percent: int):
 
     def rows(key, frame):
         stay: set[int] = set()
-        for i, others, _ in _possible(key, frame, percent):
-            mine = set(frame.columns_of[i])
-            here = [j for j in others if next(c for c in frame.columns_of[j] if c in mine) == key[0]]
-            if here:
-                stay.add(i)
-                stay.update(here)
+        of = {i: x.tolist() for i, x in frame.columns_of.items()}
+        for left, right, maybe, _ in _possible(key, frame, percent):
+            for r, i in enumerate(left.tolist()):
+                if maybe[r].any():
+                    mine = set(of[i])
+                    here = [j for j in right[maybe[r]].tolist() if next(c for c in of[j] if c in mine) == key[0]]
+                    if here:
+                        stay.add(i)
+                        stay.update(here)
         return frame.loc[sorted(stay), [*PAIR, "side", "g", "n", "comp"]]
 
     return rows
@@ -402,12 +408,18 @@ def _likeliest(percent: int):
     def pairs(key, frame):
         import pandas as pd
 
+        g = frame.g.to_dict()
         best: dict[int, tuple[int, int]] = {}
-        for i, others, apart in _possible(key, frame, percent):
-            for x, y, d in [(i, others[apart.argmin()], apart.min()), *((j, i, d) for j, d in zip(others, apart, strict=True))]:
-                if x not in best or (d, frame.g[y]) < best[x]:
-                    best[x] = d, frame.g[y]
-        found = {(min(frame.g[x], g), max(frame.g[x], g)) for x, (_, g) in best.items()}
+        far = np.iinfo(np.int64).max
+        for left, right, maybe, apart in _possible(key, frame, percent):
+            apart = np.where(maybe, apart, far)
+            for mine, others, d in ((left, right, apart), (right, left, apart.T)):
+                at = d.argmin(axis=1)
+                least = d[np.arange(len(mine)), at]
+                for x, y, k in zip(mine.tolist(), others[at].tolist(), least.tolist(), strict=True):
+                    if k < far and (x not in best or (k, g[y]) < best[x]):
+                        best[x] = k, g[y]
+        found = {(min(g[x], other), max(g[x], other)) for x, (_, other) in best.items()}
         return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
     return pairs
