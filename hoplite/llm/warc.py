@@ -94,7 +94,7 @@ def record_bytes(kind: str, record_id: str | None, uri: str | None, payload: byt
     return _member(text.encode("utf-8", "surrogatepass") + block + CRLF * 2)
 
 
-def members(archive: bytes) -> Iterator[bytes]:
+def members(archive: bytes | pa.Buffer) -> Iterator[bytes]:
     """Decompressed gzip members in their order, fed in small pieces; nothing beyond one member is held."""
     view, at = memoryview(archive), 0
     while at < len(view):
@@ -163,7 +163,7 @@ _READ = pa.schema([("id", pa.string()), ("uri", pa.string()), ("payload_bytes",
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for archive in batch.column(0):
-            yield from batches_of((read_record(m) for m in members(archive.as_py())), _READ)
+            yield from batches_of((read_record(m) for m in members(archive.as_buffer())), _READ)  # without a copy of the archive
 
 
 def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
