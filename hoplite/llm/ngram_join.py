@@ -15,9 +15,11 @@ keeps the matrix' columns short.
 * Pairs are verified on complete shingle sets in two rounds: first one partner of each document, which joins most groups,
   then those pairs whose ends are still in different components and whose bitmap sketches leave a link possible. For
   a verification the text of a document goes to the tasks of its partners, in parts where these are many.
-* What shares a component with its pivot need not be compared among itself; the remaining documents of a long
-  column are multiplied with each other and with the pivot's component, block by block, blocks being
-  cut by size so that only those of neighbouring sizes meet, after sketches have ruled out the rows that cannot link.
+* Long columns that share most of their documents are then taken as one: near copies have many columns in common, and meet once.
+  What shares a component with the core of such a group, a document of all its columns, need not be compared among itself; the
+  remaining documents are multiplied with each other and with the core's component, block by block, blocks being
+  cut by size so that only those of neighbouring sizes meet, after sketches have ruled out the rows that cannot link. Of m documents
+  there are about sqrt(m / BLOCK) blocks, so the rows that are dealt to pairs of blocks grow with m to the power of 1.5.
 
 Long columns may be hot keys: what there is once per column is broadcast while it is small, beyond that it is
 copied to ``PARTS`` parts of each column.
@@ -47,7 +49,7 @@ from hoplite.plans.workspace import Workspace, within
 
 #: Documents that share a column are multiplied in one task up to this many; beyond it by pivot and block.
 COLUMN = 64
-#: Rows of a block of a long column.
+#: Rows of a block of a group of long columns while one is enough, and rows that a block's product takes at a time.
 BLOCK = 256
 #: One document in so many is counted to order shingles by frequency, and the most frequent kept for that.
 ORDER_SAMPLE, ORDER_SIZE = 8, 1 << 18
@@ -384,11 +386,11 @@ def _possible(key, frame, percent: int):
 
 
 def _block_filter(percent: int):
-    """Rows of a pair of blocks that may link to another component, each two in the least column that they share."""
+    """Rows of a pair of blocks that may link to another component, each two in the least group of columns that they share."""
 
     def rows(key, frame):
         stay: set[int] = set()
-        of = {i: x.tolist() for i, x in frame.columns_of.items()}
+        of = {i: x.tolist() for i, x in frame.groups_of.items()}
         for left, right, maybe, _ in _possible(key, frame, percent):
             for r, i in enumerate(left.tolist()):
                 if maybe[r].any():
@@ -425,42 +427,47 @@ def _likeliest(percent: int):
     return pairs
 
 
-def _block_product(percent: int):
-    """All overlaps of two blocks of a long column by a product of their incidence matrices; links of different components come out."""
+def _overlaps(left, right) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets by a product of their incidence matrices."""
+    # only shingles that occur on both sides can overlap
+    la, lb = np.concatenate(left), np.concatenate(right)
+    vocabulary = np.intersect1d(la, lb)
+    ra, rb = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
+    overlap = np.zeros((len(left), len(right)), np.float32)
+    ca, cb = np.searchsorted(vocabulary, la), np.searchsorted(vocabulary, lb)
+    ca[ca == len(vocabulary)], cb[cb == len(vocabulary)] = 0, 0
+    ha, hb = (vocabulary[ca] == la, vocabulary[cb] == lb) if len(vocabulary) else (ca < 0, cb < 0)
+    for c in range(0, len(vocabulary), 8192):
+        ia, ib = np.zeros((len(left), 8192), np.float32), np.zeros((len(right), 8192), np.float32)
+        for inc, row, col, hit in ((ia, ra, ca, ha), (ib, rb, cb, hb)):
+            m = hit & (col >= c) & (col < c + 8192)
+            inc[row[m], col[m] - c] = 1
+        overlap += ia @ ib.T
+    return overlap
+
+
+def _block_product(percent: int, block: int):
+    """All overlaps of two blocks, ``block`` rows of each at a time; links of different components come out."""
 
     def product(key, frame):
         import pandas as pd
 
         left, right = _sides(key, frame)
         found: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            na, nb = left.n.to_numpy(), right.n.to_numpy()
-            # only shingles that occur on both sides can overlap
-            la, lb = np.concatenate(list(left["set"])), np.concatenate(list(right["set"]))
-            vocabulary = np.intersect1d(la, lb)
-            ra, rb = np.repeat(np.arange(len(left)), na), np.repeat(np.arange(len(right)), nb)
-            overlap = np.zeros((len(left), len(right)), np.float32)
-            ca, cb = np.searchsorted(vocabulary, la), np.searchsorted(vocabulary, lb)
-            ca[ca == len(vocabulary)], cb[cb == len(vocabulary)] = 0, 0
-            ha, hb = (vocabulary[ca] == la, vocabulary[cb] == lb) if len(vocabulary) else (ca < 0, cb < 0)
-            for c in range(0, len(vocabulary), 8192):
-                ia, ib = np.zeros((len(left), 8192), np.float32), np.zeros((len(right), 8192), np.float32)
-                for inc, row, col, hit in ((ia, ra, ca, ha), (ib, rb, cb, hb)):
-                    m = hit & (col >= c) & (col < c + 8192)
-                    inc[row[m], col[m] - c] = 1
-                overlap += ia @ ib.T
-            union = na[:, None] + nb[None, :] - overlap
-            hit = (100 * overlap >= percent * union) & (left.comp.to_numpy()[:, None] != right.comp.to_numpy()[None, :])
-            i, j = np.nonzero(hit)
-            parent: dict[int, int] = {}
-
-            def root(x):
-                while parent.setdefault(x, x) != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            ga, gb, pa_, pb_ = left.g.to_numpy(), right.g.to_numpy(), left.comp.to_numpy(), right.comp.to_numpy()
+        parent: dict[int, int] = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        slices = lambda side: [side.iloc[i : i + block] for i in range(0, len(side), block)]
+        for a, b in ((a, b) for a in slices(left) for b in slices(right)):
+            overlap = _overlaps(list(a["set"]), list(b["set"]))
+            union = a.n.to_numpy()[:, None] + b.n.to_numpy()[None, :] - overlap
+            ga, gb, pa_, pb_ = a.g.to_numpy(), b.g.to_numpy(), a.comp.to_numpy(), b.comp.to_numpy()
+            i, j = np.nonzero((100 * overlap >= percent * union) & (pa_[:, None] != pb_[None, :]))
             for x, y in zip(i.tolist(), j.tolist(), strict=True):  # one link for each two components that meet
                 p, q = root(int(pa_[x])), root(int(pb_[y]))
                 if p != q:
@@ -506,17 +513,34 @@ def joined(comp: DataFrame, links: DataFrame, work: Workspace, label: str) -> Da
     return work.put(moved.unionByName(fresh), label)
 
 
-def _dealt(scan: DataFrame, rows: DataFrame, comp: DataFrame, percent: int, block: int, work: Workspace, label: str) -> DataFrame | None:
-    """The rows of all pairs of blocks of the long columns ``rows(s, g, n)``, with sketches; None if every row shares its pivot's component."""
+def grouped(rows: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Long columns ``rows(s, g, n)`` as groups of columns, which hold each set once, and the core ``(s, core)`` of each group.
+
+    A column goes with the other columns of the one of its sets that most long columns hold; that set is the core. Where such columns
+    have so little in common that they take fewer pairs by themselves, each stays a group of its own.
+    """
+    held = rows.groupBy("g").agg(F.count("*").alias("k"))
+    columns = rows.join(held, "g").groupBy("s").agg(F.max(F.struct("k", "g")).alias("core"), F.count("*").cast("double").alias("size"))
+    columns = work.put(columns.select("s", "core.g", "size").withColumnRenamed("g", "core"), "cores")
+    together = by_column(rows.select("s", "g"), columns.select("s", "core")).select("core", "g").distinct().groupBy("core").agg(F.count("*").cast("double").alias("all"))
+    better = columns.groupBy("core").agg(F.sum(F.col("size") * F.col("size")).alias("pairs")).join(together, "core").where("`all` * `all` <= pairs").select("core")
+    groups = columns.select("s", "core").join(better.withColumn("one", F.lit(True)), "core", "left").select("s", "core", F.when(F.col("one"), F.col("core")).otherwise(F.col("s")).alias("to"))
+    groups = work.put(groups, "groups")
+    members = work.put(by_column(rows, groups.select("s", "to")).select(F.col("to").alias("s"), "g", "n").distinct(), "members")
+    return members, groups.groupBy(F.col("to").alias("s")).agg(F.min("core").alias("core"))
+
+
+def _dealt(scan: DataFrame, rows: DataFrame, cores: DataFrame, comp: DataFrame, percent: int, block: int, work: Workspace, label: str) -> DataFrame | None:
+    """The rows of all pairs of blocks of the groups ``rows(s, g, n)``, with sketches; None if every row shares the component of its group's core."""
     put = lambda df, name: work.put(df, f"{label}_{name}")
     known = named(rows, comp, "g", "comp").select("s", "g", "n", "comp")
-    core = named(work.spark.read.parquet(work.path("pivots")).select("s", F.col("pivot").alias("g")), comp, "g", "core").select("s", "core")
+    core = named(cores.withColumnRenamed("core", "g"), comp, "g", "core").select("s", "core")
     level = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / min(percent, 99))) + 1e-9).cast("int")
     tail = by_column(known, put(core, "core")).select("s", "g", "n", "comp", level.alias("level"), (F.col("comp") == F.col("core")).alias("in_core"))
     tail = put(tail, "tail")
-    count = lambda what: F.ceil(F.sum(what.cast("long")) / block).cast("int")
+    count = lambda what: F.ceil(F.sqrt(F.sum(what.cast("long")) / block)).cast("int")
     sizes = tail.groupBy("s", "level").agg(count(~F.col("in_core")).alias("rest"), count(F.col("in_core")).alias("core"))
-    # one row a column: its blocks by level, of which there are as many as sizes have powers of 100 / percent
+    # one row a group: its blocks by level, of which there are as many as sizes have powers of 100 / percent
     maps = sizes.groupBy("s").agg(F.max("rest").alias("most"), *(F.map_from_entries(F.collect_list(F.struct("level", x))).alias(f"{x}s") for x in ("rest", "core")))
     maps = put(maps.where("most > 0").drop("most"), "levels")
     if maps.isEmpty():
@@ -545,29 +569,30 @@ def _dealt(scan: DataFrame, rows: DataFrame, comp: DataFrame, percent: int, bloc
     dealt = blocks.select("s", "g", "n", "comp", F.explode(every).alias("e")).select("s", "e.*", "g", "n", "comp")
     wanted = dealt.select("g").distinct()
     sketches = put(scan.where("sketch is not null").select("g", "sketch").join(wanted, "g", "left_semi").groupBy("g").agg(F.min("sketch").alias("sketch")), "sketches")
-    columns = put(rows.join(wanted, "g", "left_semi").groupBy("g").agg(F.sort_array(F.collect_list("s")).alias("columns_of")), "columns")
-    return dealt.join(sketches.join(columns, "g"), "g")
+    groups = put(rows.join(wanted, "g", "left_semi").groupBy("g").agg(F.sort_array(F.collect_list("s")).alias("groups_of")), "groups")
+    return dealt.join(sketches.join(groups, "g"), "g")
 
 
 def _in_blocks(docs: DataFrame, scan: DataFrame, rows: DataFrame, comp: DataFrame, percent: int, block: int, work: Workspace) -> DataFrame:
     """``comp`` after all links that long columns ``rows(s, g, n)`` add between components: first the likeliest partner of each row in each pair of
-    blocks, which many columns have in common, then the product of what is left."""
-    dealt = _dealt(scan, rows, comp, percent, block, work, "near")
+    blocks, then the product of what is left."""
+    rows, cores = grouped(rows, work)
+    dealt = _dealt(scan, rows, cores, comp, percent, block, work, "near")
     if dealt is None:
         return comp
     near = dealt.groupBy(*PAIR).applyInPandas(_likeliest(percent), "a long, b long").distinct()
     comp = joined(comp, verified(near, docs, scan, percent, work, "links3"), work, "comp3")
-    work.drop("near_core", "near_tail", "near_levels", "near_sketches", "near_columns")
-    dealt = _dealt(scan, rows, comp, percent, block, work, "block")
+    work.drop("near_core", "near_tail", "near_levels", "near_sketches", "near_groups")
+    dealt = _dealt(scan, rows, cores, comp, percent, block, work, "block")
     if dealt is None:
         return comp
     ddl = "s long, level int, i int, kind int, other int, j int, side int, g long, n int, comp long"
     maybe = work.put(dealt.groupBy(*PAIR).applyInPandas(_block_filter(percent), ddl), "maybe")
-    work.drop("block_core", "block_tail", "block_levels", "block_sketches", "block_columns")
+    work.drop("block_core", "block_tail", "block_levels", "block_sketches", "block_groups")
     if maybe.isEmpty():
         return comp
     sets = needed_sets(docs, scan, maybe.select("g"), work, "block_sets")
-    links = work.put(maybe.join(sets, "g").groupBy(*PAIR).applyInPandas(_block_product(percent), "a long, b long"), "block_links")
+    links = work.put(maybe.join(sets, "g").groupBy(*PAIR).applyInPandas(_block_product(percent, block), "a long, b long"), "block_links")
     work.drop("maybe", "block_sets")
     return joined(comp, links, work, "comp4")
 

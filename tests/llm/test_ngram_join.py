@@ -173,6 +173,43 @@ def test_long_columns_of_one_group_of_copies(spark):
     assert sorted(tuple(r) for r in got) == brute(rows)
 
 
+def test_rows_of_near_copies_meet_once(spark, monkeypatch):
+    """Copies further apart than a link, which have many long columns in common: few rows go to pairs of blocks, and no link is lost."""
+    rng = random.Random(17)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(240):
+        d = list(base)
+        for _ in range(rng.randint(1, 4)):
+            d[rng.randrange(150)] = f"x{rng.randrange(1000)}"
+        rows.append((i, " ".join(d)))
+    honest, made = N._dealt, []
+
+    def dealt(*args):
+        out = honest(*args)
+        made.append(0 if out is None else out.count())
+        return out
+
+    monkeypatch.setattr(N, "_dealt", dealt)
+    got = N.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), widest=8, block=16).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows)
+    assert 0 < max(made) <= 20 * len(rows)
+
+
+def test_groups_of_long_columns(spark):
+    """Columns with the same sets become one group; those that only their core has in common stay apart."""
+    from hoplite.plans.workspace import Workspace
+
+    rows = [(s, g, 9) for s in (1, 2, 3) for g in range(100, 110)] + [(s, g, 9) for s in (4, 5, 6) for g in [200, *range(1000 * s, 1000 * s + 9)]]
+    with Workspace(spark, "groups") as work:
+        members, cores = N.grouped(spark.createDataFrame(rows, "s long, g long, n int"), work)
+        found = {r.s: r.core for r in cores.collect()}
+        got = sorted((r.s, r.g) for r in members.collect())
+    core = next(s for s in found if s >= 100)
+    assert found == {core: core, 4: 200, 5: 200, 6: 200}
+    assert got == sorted([(core, g) for g in range(100, 110)] + [(s, g) for s, g, _ in rows if s in (4, 5, 6)])
+
+
 @pytest.mark.parametrize("percent", [40, 60, 95])
 def test_other_thresholds(spark, percent):
     rows = [(i, t) for i, t in made(5) if i is not None][:60]
