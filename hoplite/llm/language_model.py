@@ -45,6 +45,8 @@ GAIN, ROUNDS = 1e-5, 50
 EMIT, MOVE = 0.1, 0.5
 #: Distinct words that a task counts before it passes its counts on; neighbours that it holds before it counts them.
 FLUSH, SIDES = 2_000_000, 4_000_000
+#: Rows of contexts that a task hands over at a time.
+OUT_ROWS = 1 << 16
 #: First places of the counts of a common word or type.
 SALT = 16
 #: A context and how often it occurs.
@@ -134,12 +136,21 @@ def _entries(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw.view(ENTRY), np.diff(at) // ENTRY.itemsize
 
 
-def _added(group: np.ndarray, code: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Entries of groups numbered from 0, equal ones added; and where each group ends."""
-    key, inverse = np.unique(group * np.int64(1 << 16) + code, return_inverse=True)
-    out = np.empty(len(key), ENTRY)
+def _added(group: np.ndarray, code: np.ndarray, n: np.ndarray | None, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of groups numbered from 0, equal ones added, each for one if ``n`` is None; and where each group ends."""
+    key = group * np.int64(1 << 16)
+    key += code
+    if n is None:
+        key.sort()  # in place: nothing as long as the input is held beside it
+    else:
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    out = np.empty(len(first), ENTRY)
+    if len(key):
+        out["n"] = np.minimum(np.diff(np.r_[first, len(key)]) if n is None else np.add.reduceat(n, first, dtype=np.int64), MOST)
+    key = key[first]
     out["code"] = key & 0xFFFF
-    out["n"] = np.minimum(np.bincount(inverse, n, len(key)), MOST)
     return out, np.cumsum(np.bincount(key >> 16, minlength=size))
 
 
@@ -154,26 +165,36 @@ def _count_contexts(shared):
         def rows(kind: int, h: np.ndarray, entries: np.ndarray, ends: np.ndarray, salted: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h.view(np.int64)), pa.array(np.where(salted, salt, 0).astype(np.int32)), _blobs(entries, ends)], schema=_SIDES)
 
-        def words_held() -> pa.RecordBatch:
-            h, inverse = np.unique(np.concatenate([x for x, _ in waiting]), return_inverse=True)
-            entries, ends = _added(inverse, np.concatenate([c for _, c in waiting]), np.ones(len(inverse)), len(h))
-            return rows(1, h, entries, ends, _among(h, common)[0])
+        def words_held() -> Iterator[pa.RecordBatch]:
+            h, code = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            waiting.clear()
+            order = np.argsort(h)
+            h, code = h[order], code[order]
+            del order
+            new = np.r_[True, h[1:] != h[:-1]]
+            h, group = h[new], np.cumsum(new)
+            group -= 1
+            entries, ends = _added(group, code, None, len(h))
+            del group, code, new
+            out = rows(1, h, entries, ends, _among(h, common)[0])
+            for at in range(0, len(h), OUT_ROWS):
+                yield out.slice(at, OUT_ROWS)
 
         for batch in batches:
             words = Words(batch.column(0))
             seq, place = in_sequence(words, types.of(words.hashes, endings(words)), types.end)
             if not len(seq):
                 continue
-            cells += np.bincount(np.r_[types.end, seq[:-1]] * t + seq, minlength=t * t)
+            np.add.at(cells, np.r_[types.end, seq[:-1]] * t + seq, 1)
             more = np.flatnonzero(seq[place] >= own)
             before, behind = np.r_[types.end, seq[:-1]][place[more]], seq[place[more] + 1] + t
-            waiting += [(words.hashes[more], before), (words.hashes[more], behind)]
+            waiting += [(words.hashes[more], x.astype(np.uint16)) for x in (before, behind)]
             size += 2 * len(more)
             if size > SIDES:
-                yield words_held()
-                waiting, size = [], 0
+                yield from words_held()
+                size = 0
         if size:
-            yield words_held()
+            yield from words_held()
         used = np.flatnonzero(cells)
         if len(used):
             h, inverse = np.unique(used // t, return_inverse=True)

@@ -193,3 +193,25 @@ def test_words_are_classed_by_their_own_neighbours(spark, monkeypatch, common):
     assert got[held].held_out and got[other].held_out
     assert abs(got[held].base_score - got[other].base_score) < 1e-6
     assert got[held].score > got[other].score + 30
+
+
+def test_contexts_are_counted_in_little_memory(monkeypatch):
+    """Beside the neighbours that a task holds a few arrays of that length are made, not a dozen; rows go in small batches."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(M, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(M, "SIDES", 400_000)
+    monkeypatch.setattr(M, "OUT_ROWS", 5_000, raising=False)
+    rng = random.Random(3)
+    text = [" ".join(f"w{rng.randrange(60_000)}" for _ in range(4_000)) for _ in range(60)]
+    shared = SimpleNamespace(value=(M.Types(np.empty(0, np.uint64)), np.empty(0, np.uint64)))
+    batches = (pa.RecordBatch.from_arrays([pa.array([t])], ["text"]) for t in text)
+    tracemalloc.start()
+    try:
+        made = [(b.num_rows, int(M._entries(b.column(3))[0]["n"].sum())) for b in M._count_contexts(shared)(batches)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(n for _, n in made) == 2 * 60 * 4_000 + 60 * 4_001
+    assert peak < 140 * M.SIDES and max(k for k, _ in made) <= 5_000
